@@ -17,7 +17,8 @@ Entries travel as packed arrays by hash bucket. Lists of up to 16 classes give t
 size and position filters; in longer lists all members are compared with three pivots first,
 and only members which that has not joined into one component are compared with each other.
 So copies and near copies in large groups cost a few comparisons each, and no link that would change
-a component is lost. Every candidate is verified on the exact sets.
+a component is lost. Candidates whose outlines (shingle counts in 256 hash ranges) already rule out
+enough common shingles go; the rest are verified on the exact sets.
 """
 
 from __future__ import annotations
@@ -45,6 +46,12 @@ MARKS = 23
 BUCKET_ENTRIES = 2_000_000
 #: Cost of an entry in an inverted list, its comparisons included, in subset entries.
 SCAN_COST = 8
+#: Hash ranges in the outline of a set.
+RANGES = 256
+#: Set size beyond which a count may not fit its byte, so that outlines rule nothing out.
+LARGE = 16_000
+#: Bits of the table of wanted documents, at least and at most.
+WANTED = (20, 26)
 _BUFFER = 24 << 20
 _U = np.uint64
 
@@ -88,6 +95,20 @@ def _classes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _outline(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+
+
+def _outlines_allow(n1, s1: np.ndarray, n2, s2: np.ndarray, num: int, den: int):
+    """Whether outlines (one a row) leave room for enough common shingles; very large sets always pass."""
+    room = np.minimum(s1, s2).sum(axis=-1, dtype=np.int64)
+    return (room >= need(n1, n2, num, den)) | (np.maximum(n1, n2) > LARGE)
+
+
+def _outlines(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, RANGES)
+
+
 def _sets(batch, width: int):
     data, off, _ = utf8(batch.column("text"))
     for a, b in slices(off):
@@ -111,15 +132,16 @@ def _survey(width: int):
             often = count >= 4
             n = int(often.sum())
             return pa.record_batch(
-                [pa.nulls(n, pa.int64()), pa.array(count[often].astype(np.int64)), pa.array(tokens[edge[:-1]][often].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(np.ones(n, bool))],
-                names=["doc_id", "n_shingles", "k0", "k1", "frequent"],
+                [pa.nulls(n, pa.int64()), pa.array(count[often].astype(np.int64)), pa.array(tokens[edge[:-1]][often].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary())],
+                names=["doc_id", "n_shingles", "k0", "k1", "frequent", "outline"],
             )
 
         for batch in batches:
-            rows = []
+            rows, outlines = [], []
             for _, _, sets in _sets(batch, width):
                 own = _classes(sets)
                 rows.append(own)
+                outlines += [_outline(s) for s in sets]
                 for key, s in zip(own, sets, strict=True):
                     if (name := key.tobytes()) not in seen and len(s):
                         seen[name] = s
@@ -130,8 +152,8 @@ def _survey(width: int):
             if rows:
                 own = np.concatenate(rows).view(np.int64)
                 yield pa.record_batch(
-                    [batch.column("doc_id"), pa.array(own[:, 2].copy()), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), pa.array(np.zeros(len(own), bool))],
-                    names=["doc_id", "n_shingles", "k0", "k1", "frequent"],
+                    [batch.column("doc_id"), pa.array(own[:, 2].copy()), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), pa.array(np.zeros(len(own), bool)), pa.array(outlines, pa.binary())],
+                    names=["doc_id", "n_shingles", "k0", "k1", "frequent", "outline"],
                 )
         yield frequent()
 
@@ -295,11 +317,13 @@ def _cross(num: int, den: int):
 
         pdf = pdf.sort_values(["n", "node"], kind="stable")
         node, label, n, p = (pdf[c].to_numpy() for c in ("node", "label", "n", "place"))
+        outline = _outlines(pdf["outline"])
         last = np.searchsorted(n, n * den // num, "right")
         left, right = [], []
         for i in range(len(node)):
             j = np.arange(i + 1, last[i])
             j = j[(label[j] != label[i]) & _may(n[i], p[i], n[j], p[j], num, den)]
+            j = j[_outlines_allow(n[i], outline[i], n[j], outline[j], num, den)]
             if len(j):
                 left.append(np.full(len(j), node[i]))
                 right.append(node[j])
@@ -308,11 +332,31 @@ def _cross(num: int, den: int):
     return run
 
 
-def _pack(width: int):
+def _rule_out(num: int, den: int):
+    """Drops candidate pairs whose outlines leave no room for enough common shingles."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            n1, n2 = np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b"))
+            s1, s2 = (_outlines(x.as_py() for x in batch.column(c)) for c in ("outline_a", "outline_b"))
+            mask = pa.array(_outlines_allow(n1, s1, n2, s2, num, den), pa.bool_())
+            yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return run
+
+
+def _pack(width: int, wanted, bits: int):
+    """Sets of the documents that the table of wanted ones marks."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        marked = np.unpackbits(np.frombuffer(wanted.value, np.uint8))
         for batch in batches:
+            at = np.asarray(batch.column("at"))
+            batch = batch.filter(pa.array(marked[at].astype(bool)))
             for a, b, sets in _sets(batch, width):
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set"])
 
@@ -337,12 +381,28 @@ def _verify(num: int, den: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)``, given by doc_id, whose sets are similar."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(
-        docs.join(wanted, "doc_id", "left_semi").mapInArrow(_pack(width), "doc_id long, set binary").dropDuplicates(["doc_id"])
-    )
+def _marks(spark: SparkSession, places: DataFrame, bits: int):
+    """``places(at)`` as a broadcast table of ``2**bits`` bits, put together in 64-bit words by an aggregate."""
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
+    rows = places.select(F.shiftright("at", 6).alias("w"), word.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
+    table = np.zeros(1 << (bits - 6), _U)
+    for r in rows:
+        table[r["w"]] = r["bits"] & ((1 << 64) - 1)
+    return spark.sparkContext.broadcast(np.packbits(np.unpackbits(table.view(np.uint8), bitorder="little")).tobytes())
+
+
+def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(a, b)``, given by doc_id, whose sets are similar.
+
+    Only wanted documents' sets are built. A table of bits, whose size is bounded, keeps most others'
+    texts out of the exchange; a semi join takes out the rest.
+    """
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    bits = min(max(WANTED[0], (16 * wanted.count()).bit_length()), WANTED[1])
+    at = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
+    marked = _marks(spark, wanted.select(at.alias("at")), bits)
+    sets = docs.where("doc_id is not null").withColumn("at", at).mapInArrow(_pack(width, marked, bits), "doc_id long, set binary")
+    sets = cut(sets.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("set").alias("set")))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b"
     )
@@ -364,21 +424,14 @@ def similarity_classes(
     prepare(spark)
     num, den = (x // math.gcd(*similarity) for x in similarity)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = cut(docs.mapInArrow(_survey(width), "doc_id long, n_shingles long, k0 long, k1 long, frequent boolean"))
-    own = survey.where("not frequent").drop("frequent")
-    classes = cut(own.where("n_shingles > 0").groupBy("n_shingles", "k0", "k1").agg(F.min("doc_id").alias("node")))
+    survey = cut(docs.mapInArrow(_survey(width), "doc_id long, n_shingles long, k0 long, k1 long, frequent boolean, outline binary"))
+    own = survey.where("not frequent").drop("frequent", "outline")
+    grouped = survey.where("n_shingles > 0 and not frequent").groupBy("n_shingles", "k0", "k1")
+    classes = cut(grouped.agg(F.min("doc_id").alias("node"), F.max("outline").alias("outline")))
 
     # frequent shingles as a table of bits: at most 2^MARKS of them, whatever the input
-    word = F.shiftrightunsigned("k0", 64 - MARKS)
-    bits = (
-        survey.where("frequent").groupBy("k0").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= FREQUENT)
-        .select(F.shiftright(word, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(63).cast("int")).alias("bit"))
-        .groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
-    )
-    table = np.zeros(1 << (MARKS - 6), _U)
-    for r in bits:
-        table[r["at"]] = r["bits"] & ((1 << 64) - 1)
-    marks = spark.sparkContext.broadcast(np.packbits(np.unpackbits(table.view(np.uint8), bitorder="little")).tobytes())
+    often = survey.where("frequent").groupBy("k0").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= FREQUENT)
+    marks = _marks(spark, often.select(F.shiftrightunsigned("k0", 64 - MARKS).alias("at")), MARKS)
 
     sizes = classes.groupBy(F.least(F.col("n_shingles"), F.lit(32)).alias("n")).agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s")).collect()
     small = boundary({r["n"]: r["c"] for r in sizes if r["n"] < 32}, num, den)
@@ -388,23 +441,26 @@ def similarity_classes(
     packed = docs.mapInArrow(_entries(width, num, den, small, marks, buckets), "bucket long, tokens binary, owners binary, places binary, classes binary")
     found = cut(packed.groupBy("bucket").applyInPandas(_match(num, den), "token long, a0 long, a1 long, b0 long, b1 long, place long"))
 
-    def named(df: DataFrame, k0: str, k1: str, to: str) -> DataFrame:
-        return df.join(classes.select(F.col("k0").alias(k0), F.col("k1").alias(k1), F.col("node").alias(to)).where(f"{to} is not null"), [k0, k1])
+    def named(df: DataFrame, side: str) -> DataFrame:
+        to = classes.where("node is not null").select(
+            F.col("k0").alias(f"{side}0"), F.col("k1").alias(f"{side}1"), F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("outline").alias(f"outline_{side}")
+        )
+        return df.join(to, [f"{side}0", f"{side}1"]).drop(f"{side}0", f"{side}1")
 
-    pairs = named(named(found.where("token is null").select("a0", "a1", "b0", "b1").distinct(), "a0", "a1", "a"), "b0", "b1", "b")
-    pairs = cut(pairs.where("a <> b").select("a", "b").distinct())
-    links = _verified(docs, pairs, width, num, den)
+    pairs = named(named(found.where("token is null").select("a0", "a1", "b0", "b1").distinct(), "a"), "b")
+    pairs = cut(pairs.mapInArrow(_rule_out(num, den), "a long, b long").where("a <> b").distinct())
+    links = _verified(spark, docs, pairs, width, num, den)
 
     lists = found.where("token is not null").select("token", "a0", "a1", "place")
     if lists.limit(1).count():
-        sized = lists.join(classes.select(F.col("k0").alias("a0"), F.col("k1").alias("a1"), "node", F.col("n_shingles").alias("n")), ["a0", "a1"]).where("node is not null")
+        sized = lists.join(classes.select(F.col("k0").alias("a0"), F.col("k1").alias("a1"), "node", F.col("n_shingles").alias("n"), "outline"), ["a0", "a1"]).where("node is not null")
         label = components(links)
-        lists = cut(sized.join(label, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("label")))
+        lists = cut(sized.join(label, "node", "left").select("token", "node", "n", "place", "outline", F.coalesce("component", "node").alias("label")))
         mixed = lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
         rest = lists.join(mixed, "token", "left_semi").groupBy("token").applyInPandas(_cross(num, den), "a long, b long")
         rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if rest.limit(1).count():
-            links = cut(links.union(_verified(docs, rest, width, num, den)))
+            links = cut(links.union(_verified(spark, docs, rest, width, num, den)))
     members = own.join(classes, ["n_shingles", "k0", "k1"], "left")
     return members, links
 
