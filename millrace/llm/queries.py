@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import boilerplate, bpe, jaccard, langid, media, mixing, quality
+from millrace.llm import boilerplate, bpe, htmltext, jaccard, langid, media, mixing, quality
 from millrace.llm.common import prepare, table
 
 
@@ -22,6 +22,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(spark, table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mixing, op3_media_columns, op4_ngram_jaccard_join, op6_language_id, op7_line_dedup, op8_quality_classifier, op10_bpe)
+    ops = (op1_mixing, op3_media_columns, op4_ngram_jaccard_join, op5_html_extraction, op6_language_id, op7_line_dedup, op8_quality_classifier, op10_bpe)
     return {f.__name__: f for f in ops}
 
 
