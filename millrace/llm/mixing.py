@@ -200,7 +200,8 @@ def taken_words(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...]
     pieces = extents.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.floor(last / BLOCK))))
     words = F.least(last + 1, (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK)
     row = ["doc_id", "source_no", "start", "size", "source_size", "target"]
-    taken = pieces.withColumn("words", words).join(counts, ["source_no", "block"], "left")
+    # the planner knows nothing of how many rows the deal makes, so it must not broadcast them
+    taken = pieces.withColumn("words", words).join(counts.hint("merge"), ["source_no", "block"], "left")
     taken = taken.groupBy(*row).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     cols = ["doc_id", "size", "source_size", "target", "taken"]
     return taken.select(*cols).union(extents.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*cols))
