@@ -38,3 +38,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
         if not moved:
             return labels
+
+
+def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels(node, component)`` after more ``edges(a, b)``: only components are compared, not their nodes again."""
+    side = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"{k}_in"))
+    named = edges.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    named = cut(named.select("a", "b", F.coalesce("a_in", "a").alias("x"), F.coalesce("b_in", "b").alias("y")))
+    merged = components(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    ends = named.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("component")), F.struct(F.col("b").alias("node"), F.col("y").alias("component")))).alias("e"))
+    known = labels.union(ends.select("e.node", "e.component")).distinct()
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return cut(known.join(to, "component", "left").select("node", F.coalesce("into", "component").alias("component")))

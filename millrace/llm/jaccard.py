@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, mix, prepare, shingle_sets, slices, utf8
-from millrace.llm.graph import components
+from millrace.llm.graph import components, merge_components
 
 #: Similarity as a fraction of integers, so that the test is exact.
 SIMILARITY = (80, 100)
@@ -39,7 +39,7 @@ WIDTH = 5
 #: Classes in a list up to which all its pairs are candidates at once.
 SHORT_LIST = 16
 #: Occurrences from which a shingle counts as frequent and comes late in the order.
-FREQUENT = 64
+FREQUENT = 16
 #: Bits of the table that marks frequent shingles by hash; its size does not depend on the data.
 MARKS = 23
 #: List entries that a bucket is meant to hold.
@@ -53,6 +53,7 @@ LARGE = 16_000
 #: Bits of the table of wanted documents, at least and at most.
 WANTED = (20, 26)
 _BUFFER = 24 << 20
+_SURVEYED = 64 << 20
 _U = np.uint64
 
 
@@ -129,7 +130,7 @@ def _survey(width: int):
             seen.clear()
             edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, int)
             count = np.diff(edge)
-            often = count >= 4
+            often = count >= 2
             n = int(often.sum())
             return pa.record_batch(
                 [pa.nulls(n, pa.int64()), pa.array(count[often].astype(np.int64)), pa.array(tokens[edge[:-1]][often].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary())],
@@ -146,7 +147,7 @@ def _survey(width: int):
                     if (name := key.tobytes()) not in seen and len(s):
                         seen[name] = s
                         held += s.nbytes
-                if held > _BUFFER:
+                if held > _SURVEYED:
                     yield frequent()
                     held = 0
             if rows:
@@ -411,13 +412,13 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int
 
 def similarity_classes(
     spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of equal shingle sets, and the verified links between them.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are left alone. Returns ``members(doc_id,
     n_shingles, k0, k1, node)``, one row per row of ``docs``, where node is the smallest doc_id
-    with the same set (null where the set is empty), and ``links(a, b)`` between nodes. The links
-    connect all that is similar; in long lists those inside a component already found may be left out.
+    with the same set (null where the set is empty), ``links(a, b)`` between nodes, and
+    ``labels(node, component)`` of the nodes that have links. The links connect all that is similar; in long lists those inside a component already found may be left out.
     Null texts and texts without words have empty sets. Rows without doc_id are counted as members
     but are not named; rows that repeat a doc_id count as one document.
     """
@@ -460,9 +461,13 @@ def similarity_classes(
         rest = lists.join(mixed, "token", "left_semi").groupBy("token").applyInPandas(_cross(num, den), "a long, b long")
         rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if rest.limit(1).count():
-            links = cut(links.union(_verified(spark, docs, rest, width, num, den)))
+            more = _verified(spark, docs, rest, width, num, den)
+            label = merge_components(label, more)
+            links = cut(links.union(more))
+    else:
+        label = components(links)
     members = own.join(classes, ["n_shingles", "k0", "k1"], "left")
-    return members, links
+    return members, links, label
 
 
 def near_duplicates(
@@ -473,8 +478,7 @@ def near_duplicates(
     ``component_id`` is the smallest doc_id that links reach, the document itself included;
     ``n_links`` counts the verified links of the document's class to other classes.
     """
-    members, links = similarity_classes(spark, docs, width, similarity)
-    label = components(links)
+    members, links, label = similarity_classes(spark, docs, width, similarity)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     label = label.join(degree, "node", "left")
     return members.join(label, "node", "left").select(
