@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import boilerplate, bpe, htmltext, jaccard, langid, media, mixing, quality
+from millrace.llm import boilerplate, bpe, htmltext, jaccard, langid, media, mixing, mtree, quality
 from millrace.llm.common import prepare, table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(spark, table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mixing, op3_media_columns, op4_ngram_jaccard_join, op5_html_extraction, op6_language_id, op7_line_dedup, op8_quality_classifier, op10_bpe)
+    ops = (op1_mixing, op2_exact_topk, op3_media_columns, op4_ngram_jaccard_join, op5_html_extraction, op6_language_id, op7_line_dedup, op8_quality_classifier, op10_bpe)
     return {f.__name__: f for f in ops}
 
 
