@@ -18,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch: long documents must not add up to more than a worker holds.
 BATCH_ROWS = 1000
 
+_U = np.uint64
 _shipped: set[str] = set()
 
 
@@ -64,6 +65,21 @@ def doc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def bit_table(spark: SparkSession, places: DataFrame, bits: int):
+    """``places(at)`` as a broadcast table of ``2**bits`` bits, put together in 64-bit words by an aggregate."""
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
+    rows = places.select(F.shiftright("at", 6).alias("w"), word.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
+    table = np.zeros(1 << (bits - 6), _U)
+    for r in rows:
+        table[r["w"]] = r["bits"] & ((1 << 64) - 1)
+    return spark.sparkContext.broadcast(np.packbits(np.unpackbits(table.view(np.uint8), bitorder="little")).tobytes())
+
+
+def table_bits(rows: int) -> int:
+    """Address bits of a bit table for so many rows: 16 places a row, but between 2^20 and 2^26 in all."""
+    return min(max(20, (16 * rows).bit_length()), 26)
+
+
 # --- byte kernels ----------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -72,7 +88,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
-_U = np.uint64
 _PIECE = 1 << 20
 
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, mix, prepare, shingle_sets, slices, utf8
+from millrace.llm.common import bit_table, cut, mix, prepare, shingle_sets, slices, table_bits, utf8
 from millrace.llm.graph import components, merge_components
 
 #: Similarity as a fraction of integers, so that the test is exact.
@@ -50,8 +50,6 @@ SCAN_COST = 8
 RANGES = 256
 #: Set size beyond which a count may not fit its byte, so that outlines rule nothing out.
 LARGE = 16_000
-#: Bits of the table of wanted documents, at least and at most.
-WANTED = (20, 26)
 _BUFFER = 24 << 20
 _SURVEYED = 64 << 20
 _U = np.uint64
@@ -382,16 +380,6 @@ def _verify(num: int, den: int):
     return run
 
 
-def _marks(spark: SparkSession, places: DataFrame, bits: int):
-    """``places(at)`` as a broadcast table of ``2**bits`` bits, put together in 64-bit words by an aggregate."""
-    word = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
-    rows = places.select(F.shiftright("at", 6).alias("w"), word.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
-    table = np.zeros(1 << (bits - 6), _U)
-    for r in rows:
-        table[r["w"]] = r["bits"] & ((1 << 64) - 1)
-    return spark.sparkContext.broadcast(np.packbits(np.unpackbits(table.view(np.uint8), bitorder="little")).tobytes())
-
-
 def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs(a, b)``, given by doc_id, whose sets are similar.
 
@@ -399,9 +387,9 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int
     texts out of the exchange; a semi join takes out the rest.
     """
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    bits = min(max(WANTED[0], (16 * wanted.count()).bit_length()), WANTED[1])
+    bits = table_bits(wanted.count())
     at = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
-    marked = _marks(spark, wanted.select(at.alias("at")), bits)
+    marked = bit_table(spark, wanted.select(at.alias("at")), bits)
     sets = docs.where("doc_id is not null").withColumn("at", at).mapInArrow(_pack(width, marked, bits), "doc_id long, set binary")
     sets = cut(sets.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("set").alias("set")))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(
@@ -432,7 +420,7 @@ def similarity_classes(
 
     # frequent shingles as a table of bits: at most 2^MARKS of them, whatever the input
     often = survey.where("frequent").groupBy("k0").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= FREQUENT)
-    marks = _marks(spark, often.select(F.shiftrightunsigned("k0", 64 - MARKS).alias("at")), MARKS)
+    marks = bit_table(spark, often.select(F.shiftrightunsigned("k0", 64 - MARKS).alias("at")), MARKS)
 
     sizes = classes.groupBy(F.least(F.col("n_shingles"), F.lit(32)).alias("n")).agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s")).collect()
     small = boundary({r["n"]: r["c"] for r in sizes if r["n"] < 32}, num, den)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import boilerplate, bpe, htmltext, jaccard, langid, media, mixing, mtree, quality
+from millrace.llm import boilerplate, bpe, htmltext, jaccard, langid, media, mixing, mtree, quality, suffixdedup
 from millrace.llm.common import prepare, table
 
 
@@ -44,12 +44,22 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeat_report(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark, table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mixing, op2_exact_topk, op3_media_columns, op4_ngram_jaccard_join, op5_html_extraction, op6_language_id, op7_line_dedup, op8_quality_classifier, op10_bpe)
+    ops = (op1_mixing, op2_exact_topk, op3_media_columns, op4_ngram_jaccard_join, op5_html_extraction, op6_language_id, op7_line_dedup, op8_quality_classifier, op9_suffix_dedup, op10_bpe, pipeline)
     return {f.__name__: f for f in ops}
 
 
