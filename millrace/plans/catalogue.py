@@ -29,3 +29,11 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return _SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay of the event log: every node that took a new value, with its generation."""
+    return _QUERIES["history_propagate"](spark, sf_dir)
+
+
+from millrace.plans import q_history, q_values  # noqa: E402, F401  (they register their queries)
