@@ -121,6 +121,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def narrow(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, in six bytes."""
+    return np.ascontiguousarray((h >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def wide(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An Arrow string column as (bytes, offsets, is-null) without copying; nulls are empty."""
     import pyarrow as pa

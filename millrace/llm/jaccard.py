@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bit_table, cut, mix, prepare, shingle_sets, slices, table_bits, utf8
+from millrace.llm.common import bit_table, cut, mix, narrow, prepare, shingle_sets, slices, table_bits, utf8, wide
 from millrace.llm.graph import components, merge_components
 
 #: Similarity as a fraction of integers, so that the test is exact.
@@ -176,8 +176,10 @@ def _subset_hashes(s: np.ndarray, size: int) -> np.ndarray:
 def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
     """List entries of each class, packed by hash bucket.
 
-    An entry is a token (subset or shingle), the class, and the shingle's place in the order
-    (for subsets 0, which every filter lets pass).
+    An entry is a token (subset or shingle), the class, and the shingle's place in the order (for subsets 0,
+    which every filter lets pass). It travels in eight bytes: 48 bits of the token, a chance match being
+    a candidate more to verify, and the place up to 65535, a lesser place only weakening the filter. Classes are
+    given by how many entries each has.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -194,7 +196,7 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
         def flush():
             if not tokens:
                 return
-            t, p = np.concatenate(tokens), np.concatenate(places)
+            t, p = np.concatenate(tokens), np.minimum(np.concatenate(places), 65535).astype(np.uint16)
             o = np.repeat(np.array([x for x, _ in owners], np.uint32), [k for _, k in owners])
             b = (t >> _U(20)) % _U(buckets)
             order = np.argsort(b, kind="stable")
@@ -203,8 +205,8 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
             edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
             out: list[list] = [[], [], [], [], []]
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                own, local = np.unique(o[x:y], return_inverse=True)
-                for col, v in zip(out, (int(b[x]), t[x:y].tobytes(), local.astype(np.uint32).tobytes(), p[x:y].tobytes(), table[own].tobytes()), strict=True):
+                own, many = np.unique(o[x:y], return_counts=True)  # ascending already
+                for col, v in zip(out, (int(b[x]), narrow(t[x:y]), many.astype(np.uint32).tobytes(), p[x:y].tobytes(), table[own].tobytes()), strict=True):
                     col.append(v)
             yield pa.record_batch([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "tokens", "owners", "places", "classes"])
             for x in (names, known, tokens, owners, places):
@@ -254,7 +256,7 @@ def _match(num: int, den: int):
         base, parts = 0, []
         for t, o, p, c in zip(pdf["tokens"], pdf["owners"], pdf["places"], pdf["classes"], strict=True):
             c = np.frombuffer(c, _U).reshape(-1, 3)
-            parts.append((np.frombuffer(t, _U), np.frombuffer(o, np.uint32).astype(np.int64) + base, np.frombuffer(p, np.uint32), c))
+            parts.append((wide(t), np.repeat(np.arange(len(c)), np.frombuffer(o, np.uint32)) + base, np.frombuffer(p, np.uint16), c))
             base += len(c)
         table = np.concatenate([x[3] for x in parts])
         uniq, ids = np.unique(table, axis=0, return_inverse=True)
