@@ -29,7 +29,7 @@ LEAST = 3
 #: Bounds of the training sample, for each language: documents, characters of each, and bytes together.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 8192
-SAMPLE_BYTES = 400_000
+SAMPLE_BYTES = 200_000
 UNDETERMINED = "und"
 _PIECE = 1 << 19
 _NEWLINE = 10
@@ -59,23 +59,23 @@ class Model:
         self.symbol[known] = np.arange(len(known))
         self.width = size = len(known) + 1
         unknown = max(1, 256 - len(known))  # bytes that share the last symbol
-        lead = np.full(ORDER, self.symbol[_NEWLINE], np.int64)
-        rows = [np.concatenate([lead, self.symbol[x].astype(np.int64)]) for x in folded]
-        lang = np.repeat(np.arange(len(rows)), [len(x) - ORDER for x in rows])
-        where = np.concatenate([np.arange(ORDER, len(x)) for x in rows])
-        base = np.cumsum([0, *[len(x) for x in rows]])[:-1]
+        lead = np.full(ORDER, self.symbol[_NEWLINE], np.int32)
+        rows = [np.concatenate([lead, self.symbol[x].astype(np.int32)]) for x in folded]
+        lang = np.repeat(np.arange(len(rows), dtype=np.int16), [len(x) - ORDER for x in rows])
+        where = np.concatenate([np.arange(ORDER, len(x), dtype=np.int32) for x in rows])
+        base = np.cumsum([0, *[len(x) for x in rows]])[:-1].astype(np.int32)
         flat = np.concatenate(rows)
         at = where + base[lang]
 
         # the union tree, level by level; node 0 is the root
-        parent, children, node = [np.array([-1])], [], np.zeros(len(at), np.int64)
+        parent, children, node = [np.array([-1])], [], np.zeros(len(at), np.int32)
         levels = [(node, at, lang)]
         count = 1
         for depth in range(1, ORDER + 1):
-            key = node * size + flat[at - depth]
+            key = node.astype(np.int64) * size + flat[at - depth]
             uniq, inv, n = np.unique(key, return_inverse=True, return_counts=True)
             kept = n >= LEAST
-            number = np.full(len(uniq), -1)
+            number = np.full(len(uniq), -1, np.int32)
             number[kept] = count + np.arange(int(kept.sum()))
             parent.append(uniq[kept] // size)
             children.append((uniq[kept], number[kept]))
@@ -98,7 +98,7 @@ class Model:
             prob = {-1: spread / spread.sum()}
             for node, at, lang in levels:
                 mine = lang == k
-                pair, n = np.unique(node[mine] * size + flat[at[mine]], return_counts=True)
+                pair, n = np.unique(node[mine].astype(np.int64) * size + flat[at[mine]], return_counts=True)
                 nodes, first = np.unique(pair // size, return_index=True)
                 edge = [*first.tolist(), len(pair)]
                 for j, u in enumerate(nodes.tolist()):
