@@ -100,10 +100,13 @@ def complexity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.count("*").alias("n_nodes"), F.sum("fan_out").alias("n_edges"), F.max("fan_in").alias("max_fan_in"), F.max("fan_out").alias("max_fan_out"), F.avg("fan_in").alias("avg_fan_in")
     )
     n, m = F.col("n_nodes"), F.col("n_edges")
-    share = F.col("fan_out") / F.col("m")
-    entropy = d.crossJoin(F.broadcast(d.agg(F.sum("fan_out").alias("m")))).where("fan_out > 0").agg(F.coalesce(-F.sum(share * F.log2(share)), F.lit(0.0)).alias("entropy"))  # one row
+    total = d.agg(F.sum("fan_out")).first()[0] or 1
+    share = F.col("fan_out") / F.lit(total)
+    entropy = d.where("fan_out > 0").agg(F.coalesce(-F.sum(share * F.log2(share)), F.lit(0.0)).alias("e")).first()["e"]
+    deep = shape.first()
     density = F.when(n > 1, m / (n * (n - 1) / 2)).otherwise(0.0)
-    return sums.crossJoin(shape).crossJoin(entropy).withColumn("density", density)  # single rows
+    fixed = {"depth": F.lit(deep["depth"]), "width": F.lit(deep["width"]), "entropy": F.lit(entropy), "density": density}
+    return sums.withColumns(fixed)
 
 
 def critical_nodes(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, share: float = 0.5) -> DataFrame:
