@@ -211,8 +211,8 @@ class Network:
         sig = lambda v: 1 / (1 + np.exp(-v))
         steps, pages, _ = x.shape
         given = (x.reshape(steps * pages, -1) @ self.w[f"x{d}"] + self.w[f"b{d}"]).reshape(steps, pages, -1)
-        h, c = state if state is not None else (np.zeros((pages, HIDDEN), np.float32),) * 2
-        out = np.zeros((steps, pages, HIDDEN), np.float32)
+        h, c = state if state is not None else (np.zeros((pages, HIDDEN), given.dtype),) * 2
+        out = np.zeros((steps, pages, HIDDEN), given.dtype)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = given[t] + h @ self.w[f"h{d}"]
             i, f, o = (sig(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
@@ -246,7 +246,7 @@ class Network:
         outs = [self.run(x, mask, d, None, kept[d])[0] for d in "fb"]
         both = np.concatenate([*outs, x], axis=2)
         p = 1 / (1 + np.exp(-(both @ self.w["out"] + self.w["bias"])[..., 0]))
-        err = ((p - y) * mask / max(1, mask.sum()))[..., None].astype(np.float32)
+        err = ((p - y) * mask / max(1, mask.sum()))[..., None].astype(p.dtype)
         flat = both.reshape(-1, both.shape[2])
         grads = {"out": flat.T @ err.reshape(-1, 1), "bias": err.sum(keepdims=True).reshape(1)}
         dboth = err @ self.w["out"].T
@@ -254,7 +254,7 @@ class Network:
             dh_out = dboth[..., n * HIDDEN : (n + 1) * HIDDEN]
             wx, wh = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(self.w[f"h{d}"])
             b = np.zeros_like(self.w[f"b{d}"])
-            dh = np.zeros((x.shape[1], HIDDEN), np.float32)
+            dh = np.zeros((x.shape[1], HIDDEN), p.dtype)
             dc = np.zeros_like(dh)
             for t, h0, c0, i, f, o, g, tc, m in reversed(kept[d]):
                 dh = dh + dh_out[t]
