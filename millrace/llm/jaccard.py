@@ -8,13 +8,13 @@ with theoretical guarantees", SIGMOD 2018, carried over from overlap to Jaccard)
   they share ``need(n, m)`` shingles; for each such size up to the boundary both enumerate all
   subsets of it, so similar small sets meet in a common subset.
 * *Large sets* scan inverted lists. All sets follow one order of shingles, the rare before the
-  frequent; similar sets share one of their first ``n - ceil(t * n) + 1`` shingles.
+  frequent; similar sets share ``SHARED`` of their first ``n - ceil(t * n) + SHARED`` shingles.
 
 The *boundary* between them is where the estimated number of list entries, from the histogram of
 set sizes, is least. Small sets that can be similar to a large one also enter the lists.
 
 Entries travel as packed arrays by hash bucket. Lists of up to 16 classes give their pairs after
-size and position filters; in longer lists all members are compared with three pivots first,
+size and position filters, and pairs that meet in ``SHARED`` lists are candidates; in longer lists all members are compared with three pivots first,
 and only members which that has not joined into one component are compared with each other.
 So copies and near copies in large groups cost a few comparisons each, and no link that would change
 a component is lost. Candidates whose outlines (shingle counts in 256 hash ranges) already rule out
@@ -36,6 +36,10 @@ from millrace.llm.graph import components, merge_components
 #: Similarity as a fraction of integers, so that the test is exact.
 SIMILARITY = (80, 100)
 WIDTH = 5
+#: Lists of large sets in which a pair must meet.
+SHARED = 3
+#: Sets up to this size always enumerate subsets; beyond it, similar sets have SHARED shingles in common.
+ALWAYS_SMALL = 4
 #: Classes in a list up to which all its pairs are candidates at once.
 SHORT_LIST = 16
 #: Occurrences from which a shingle counts as frequent and comes late in the order.
@@ -50,6 +54,8 @@ SCAN_COST = 8
 RANGES = 256
 #: Set size beyond which a count may not fit its byte, so that outlines rule nothing out.
 LARGE = 16_000
+#: The place of entries that are subsets.
+SUBSET = 65535
 _BUFFER = 24 << 20
 _SURVEYED = 64 << 20
 _U = np.uint64
@@ -61,7 +67,8 @@ def need(n, m, num: int = SIMILARITY[0], den: int = SIMILARITY[1]):
 
 
 def prefix_length(n, num: int = SIMILARITY[0], den: int = SIMILARITY[1]):
-    return n + ((-num * n) // den) + 1
+    """The SHARED-th common shingle of similar sets has ``need - SHARED`` more behind it, so it is among the first so many."""
+    return n + ((-num * n) // den) + SHARED
 
 
 def subset_sizes(n: int, most: int, num: int, den: int) -> list[int]:
@@ -82,7 +89,7 @@ def boundary(histogram: dict[int, int], num: int, den: int, most: int = 24) -> i
                 total += count * prefix_length(n, num, den) * SCAN_COST
         return total
 
-    return min(range(most + 1), key=lambda x: (cost(x), x))
+    return min(range(ALWAYS_SMALL, most + 1), key=lambda x: (cost(x), x))
 
 
 def _classes(sets: list[np.ndarray]) -> np.ndarray:
@@ -176,9 +183,9 @@ def _subset_hashes(s: np.ndarray, size: int) -> np.ndarray:
 def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
     """List entries of each class, packed by hash bucket.
 
-    An entry is a token (subset or shingle), the class, and the shingle's place in the order (for subsets 0,
-    which every filter lets pass). It travels in eight bytes: 48 bits of the token, a chance match being
-    a candidate more to verify, and the place up to 65535, a lesser place only weakening the filter. Classes are
+    An entry is a token (subset or shingle), the class, and the shingle's place in the order (for subsets
+    ``SUBSET``). It travels in eight bytes: 48 bits of the token, a chance match being a candidate more to
+    verify, and the place below 65535, a lesser place only weakening the filter. Classes are
     given by how many entries each has.
     """
 
@@ -196,7 +203,7 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
         def flush():
             if not tokens:
                 return
-            t, p = np.concatenate(tokens), np.minimum(np.concatenate(places), 65535).astype(np.uint16)
+            t, p = np.concatenate(tokens), np.concatenate(places).astype(np.uint16)
             o = np.repeat(np.array([x for x, _ in owners], np.uint32), [k for _, k in owners])
             b = (t >> _U(20)) % _U(buckets)
             order = np.argsort(b, kind="stable")
@@ -223,13 +230,13 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
                         for c in subset_sizes(n, small, num, den):
                             h = _subset_hashes(s, c)
                             tokens.append(h)
-                            places.append(np.zeros(len(h), np.uint32))
+                            places.append(np.full(len(h), SUBSET, np.uint32))
                             owners.append((len(known), len(h)))
                     if n * den // num > small:
                         late = frequent[(s >> _U(64 - MARKS)).astype(np.int64)].astype(bool)
                         first = np.concatenate([s[~late], s[late]])[: prefix_length(n, num, den)]
                         tokens.append(first)
-                        places.append(np.arange(len(first), dtype=np.uint32))
+                        places.append(np.minimum(np.arange(len(first), dtype=np.uint32), SUBSET - 1))
                         owners.append((len(known), len(first)))
                     known.append(key)
                     held += 16 * sum(len(x) for x in tokens[-1:])
@@ -242,13 +249,13 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
 
 
 def _may(n1, p1, n2, p2, num: int, den: int):
-    """Whether sizes, and places of a first common shingle, let two sets be similar."""
+    """Whether sizes, and places of one of the first SHARED common shingles, let two sets be similar."""
     least = need(n1, n2, num, den)
-    return (np.minimum(n1, n2) >= least) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= least)
+    return (np.minimum(n1, n2) >= least) & (SHARED - 1 + np.minimum(n1 - p1, n2 - p2) >= least)
 
 
 def _match(num: int, den: int):
-    """Candidates from one bucket's lists; long lists also come back whole for the second round."""
+    """Pairs from one bucket's lists, with the number of lists in ``place``; long lists come back whole for the second round."""
 
     def run(pdf):
         import pandas as pd
@@ -278,7 +285,9 @@ def _match(num: int, den: int):
         t, o, p = t[keep], o[keep], p[keep]
         edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]])) if len(t) else np.zeros(1, int)
         start, length = edge[:-1], np.diff(edge)
-        left, right, longer = [], [], []
+        left, right, weight, longer = [], [], [], []
+        subset = p == SUBSET
+        p = np.where(subset, 0, p)
         for m in np.unique(length).tolist():
             if m < 2:
                 continue
@@ -287,21 +296,26 @@ def _match(num: int, den: int):
                 i, j = np.triu_indices(m, 1)
                 a, b = (rows[:, None] + i).ravel(), (rows[:, None] + j).ravel()
                 ok = _may(n_of[o[a]], p[a], n_of[o[b]], p[b], num, den)
+                w = np.where(subset[a] | subset[b], SHARED, 1)  # a common subset is enough by itself
             else:
                 every = (rows[:, None] + np.arange(m)).ravel()
                 longer.append(every)
                 pivots = [np.repeat(rows + k, m) for k in (0, m // 2, m - 1)]
                 a, b = np.concatenate(pivots), np.tile(every, 3)
                 ok = (a != b) & _may(n_of[o[a]], 0, n_of[o[b]], 0, num, den)
+                w = np.full(len(a), SHARED)  # the pivots' pairs are candidates whatever else they share
             left.append(o[a[ok]])
             right.append(o[b[ok]])
+            weight.append(w[ok])
         left = np.concatenate([*left, np.zeros(0, np.int64)])
         right = np.concatenate([*right, np.zeros(0, np.int64)])
-        pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1), axis=0)
+        weight = np.concatenate([*weight, np.zeros(0, np.int64)])
+        pairs, same = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1), axis=0, return_inverse=True)
+        lists = np.minimum(np.bincount(same.reshape(-1), weight, len(pairs)), SHARED).astype(np.int64)
         k = uniq.view(np.int64)
         far = np.concatenate([*longer, np.zeros(0, np.int64)])
         frames = [
-            pd.DataFrame({"token": None, "a0": k[pairs[:, 0], 0], "a1": k[pairs[:, 0], 1], "b0": k[pairs[:, 1], 0], "b1": k[pairs[:, 1], 1], "place": None}),
+            pd.DataFrame({"token": None, "a0": k[pairs[:, 0], 0], "a1": k[pairs[:, 0], 1], "b0": k[pairs[:, 1], 0], "b1": k[pairs[:, 1], 1], "place": lists}),
             pd.DataFrame({"token": t[far].view(np.int64), "a0": k[o[far], 0], "a1": k[o[far], 1], "b0": None, "b1": None, "place": p[far]}),
         ]
         out = pd.concat([f.astype("Int64") for f in frames], ignore_index=True)
@@ -438,7 +452,8 @@ def similarity_classes(
         )
         return df.join(to, [f"{side}0", f"{side}1"]).drop(f"{side}0", f"{side}1")
 
-    pairs = named(named(found.where("token is null").select("a0", "a1", "b0", "b1").distinct(), "a"), "b")
+    pairs = found.where("token is null").groupBy("a0", "a1", "b0", "b1").agg(F.sum("place").alias("lists"))
+    pairs = named(named(pairs.where(F.col("lists") >= SHARED).drop("lists"), "a"), "b")
     pairs = cut(pairs.mapInArrow(_rule_out(num, den), "a long, b long").where("a <> b").distinct())
     links = _verified(spark, docs, pairs, width, num, den)
 

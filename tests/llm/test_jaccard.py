@@ -60,8 +60,10 @@ def test_need_and_prefixes():
         for m in range(1, 40):
             for o in range(0, min(n, m) + 1):
                 assert (o >= J.need(n, m, 4, 5)) == (5 * o >= 4 * (n + m - o))
-        assert J.prefix_length(n, 4, 5) == n - -(-4 * n // 5) + 1
-    assert J.boundary({3: 1000}, 4, 5) >= 3 and J.boundary({}, 4, 5) == 0
+        assert J.prefix_length(n, 4, 5) == n - -(-4 * n // 5) + J.SHARED
+        if n > J.ALWAYS_SMALL:
+            assert min(J.need(n, m, 4, 5) for m in range(-(-4 * n // 5), n * 5 // 4 + 1)) >= J.SHARED
+    assert J.boundary({3: 1000}, 4, 5) >= 3 and J.boundary({}, 4, 5) == J.ALWAYS_SMALL
 
 
 def test_hashes_in_pieces(monkeypatch):
