@@ -10,7 +10,6 @@ from typing import Any
 from millrace import __version__
 from millrace.graph import render
 from millrace.graph.blueprint import Blueprint
-from millrace.plans import optimize
 
 
 def load(where: str) -> Blueprint:

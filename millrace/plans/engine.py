@@ -147,10 +147,8 @@ class Workbench:
         if memo is None:
             return False
         parents = self.graph.parents(name)
-        return all(p in self._memo and memo.seen.get(p, (None,))[0] == self._memo[p].fingerprint and self.is_valid_source_or_node(p) for p in parents)
-
-    def is_valid_source_or_node(self, name: str) -> bool:
-        return self.graph.node(name).is_source or self.is_valid(name)
+        fits = all(p in self._memo and memo.seen.get(p, (None,))[0] == self._memo[p].fingerprint for p in parents)
+        return fits and all(self.graph.node(p).is_source or self.is_valid(p) for p in parents)
 
     def evict(self, name: str) -> bool:
         """Forget a table; its generation is not forgotten."""

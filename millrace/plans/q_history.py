@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import cents, differs, same_entries
+from millrace.functions import cents, same_entries
 from millrace.graph.blueprint import Blueprint
 from millrace.operators import values as V
 from millrace.plans import batches
@@ -93,23 +93,22 @@ def history_generation(spark, sf_dir):
 
 @query(
     _sql()
-    + "SELECT user_id, arg_max(score, event_id) FILTER (WHERE score IS NOT NULL OR TRUE) AS score, arg_max(score_generation, event_id) AS score_generation FROM (SELECT user_id, event_id, struct_pack(v := score) AS s, score, score_generation FROM h WHERE event_id <= 5000) GROUP BY user_id".replace(
-        "arg_max(score, event_id) FILTER (WHERE score IS NOT NULL OR TRUE)", "(arg_max(s, event_id)).v"
-    )
+    + """SELECT user_id, (arg_max(s, event_id)).v AS score, arg_max(score_generation, event_id) AS score_generation
+FROM (SELECT user_id, event_id, struct_pack(v := score) AS s, score_generation FROM h WHERE event_id <= 5000) GROUP BY user_id"""
 )
 def history_demand_as_of(spark, sf_dir):
     h = _history(spark, sf_dir)
     return h.as_of(F.col("event_id") <= 5000).select("user_id", "score", F.col("score__generation").alias("score_generation"))
 
 
-_VALID = {n: " AND ".join(f"now.{p}_generation = seen.{p}_generation" for p in PARENTS["score"]) for n in ["score"]}
+_VALID = " AND ".join(f"now.{p}_generation = seen.{p}_generation" for p in PARENTS["score"])
 
 
 @query(
     _sql()
     + f""", seen AS (SELECT user_id, max(step_generation) AS step_generation, max(alert_generation) AS alert_generation, max(purchase_generation) AS purchase_generation FROM h WHERE event_id <= 4000 GROUP BY user_id),
 now AS (SELECT user_id, max(step_generation) AS step_generation, max(alert_generation) AS alert_generation, max(purchase_generation) AS purchase_generation FROM h GROUP BY user_id)
-SELECT user_id, {_VALID["score"]} AS valid FROM now JOIN seen USING (user_id)"""
+SELECT user_id, {_VALID} AS valid FROM now JOIN seen USING (user_id)"""
 )
 def memo_validity(spark, sf_dir):
     """Whether the score remembered after event 4000 may still be used: its parents' generations are what they were."""

@@ -178,3 +178,19 @@ def test_schedules_respect_edges(n, data):
     order = {name: k for k, name in enumerate(g.schedule())}
     assert len(order) == n - 1
     assert all(order[p] < order[c] for c in order for p in g.parents(c) if p in order)
+
+
+def test_shape_and_impact():
+    assert O.shape(linear()) == {"depth": 5, "width": 1, "parallelism": 1.0, "is_linear": True, "is_wide": False}
+    g = Blueprint()
+    for s in "xyz":
+        g.source(s)
+    g.derive("a", lambda c: 0, ["x", "y"])
+    g.derive("b", lambda c: 0, ["x"])
+    g.derive("c", lambda c: 0, ["a", "b"])
+    g.derive("d", lambda c: 0, ["z"])
+    i = O.impact_of(g, ["x"])
+    assert i.affected == {"a", "b", "c"} and i.share == 0.75 and i.depth == 2 and i.is_widespread
+    assert i.ends == {"c"} and i.paths == (("x", "a", "c"),)
+    assert O.impact_of(g, ["z"]).affected == {"d"} and not O.impact_of(g, ["z"]).is_localized
+    assert O.shape(Blueprint())["depth"] == 0 and O.impact_of(g, []).paths == ()
