@@ -16,10 +16,14 @@ from pyspark.sql.window import Window
 from millrace.functions.lineage import cut
 
 
+#: Steps whose results are read side by side before they are written as one.
+UNIONS = 8
+
+
 def reach(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), reverse: bool = False) -> DataFrame:
     """``by..., node_id, depth``: nodes reached from ``seeds(by..., node_id)`` and the least number of steps; seeds have 0."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.select(F.col(a).alias("__from"), F.col(b).alias("__to")).distinct()
+    step = cut(edges.select(F.col(a).alias("__from"), F.col(b).alias("__to")).distinct())
     key = [*by, "node_id"]
     known = cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
     frontier, depth = known, 0
@@ -29,7 +33,9 @@ def reach(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), reverse:
         new = cut(new.join(known.select(*key), key, "left_anti").withColumn("depth", F.lit(depth)))
         if not new.limit(1).count():
             return known
-        known, frontier = cut(known.union(new)), new
+        known, frontier = known.union(new), new
+        if depth % UNIONS == 0:
+            known = cut(known)
 
 
 def downstream(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -43,7 +49,7 @@ def upstream(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> Da
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node_id, level``: the longest distance from a node without parents. Raises on a cycle."""
     total = nodes.count()
-    left = edges.select("src", "dst").distinct()
+    left = cut(edges.select("src", "dst").distinct())
     ready = cut(nodes.select("node_id").join(left.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_anti").withColumn("level", F.lit(0)))
     done, level = ready, 0
     waiting = cut(left.groupBy("dst").agg(F.count("*").alias("open")))
@@ -54,7 +60,9 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ready = cut(after.where("open = 0").select(F.col("dst").alias("node_id"), F.lit(level).alias("level")))
         if not ready.limit(1).count():
             break
-        waiting, done = after.where("open > 0"), cut(done.union(ready))
+        waiting, done = after.where("open > 0"), done.union(ready)
+        if level % UNIONS == 0:
+            done = cut(done)
     if done.count() < total:
         raise ValueError("the graph has a cycle")
     return done
