@@ -76,8 +76,8 @@ def bit_table(spark: SparkSession, places: DataFrame, bits: int):
 
 
 def table_bits(rows: int) -> int:
-    """Address bits of a bit table for so many rows: 16 places a row, but between 2^20 and 2^26 in all."""
-    return min(max(20, (16 * rows).bit_length()), 26)
+    """Address bits of a bit table for so many rows: 64 places a row, but between 2^20 and 2^26 in all."""
+    return min(max(20, (64 * rows).bit_length()), 26)
 
 
 # --- byte kernels ----------------------------------------------------------------------------

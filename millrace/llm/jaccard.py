@@ -47,13 +47,13 @@ FREQUENT = 16
 #: Bits of the table that marks frequent shingles by hash; its size does not depend on the data.
 MARKS = 23
 #: List entries that a bucket is meant to hold.
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 1_500_000
 #: Cost of an entry in an inverted list, its comparisons included, in subset entries.
 SCAN_COST = 8
 #: Hash ranges in the outline of a set.
 RANGES = 256
-#: Set size beyond which a count may not fit its byte, so that outlines rule nothing out.
-LARGE = 16_000
+#: Sets beyond FINE_FROM shingles have FINE ranges; those beyond LARGE might not fit a byte a range, and are never ruled out.
+FINE, FINE_FROM, LARGE = 1024, 700, 100_000
 #: The place of entries that are subsets.
 SUBSET = 65535
 _BUFFER = 24 << 20
@@ -102,17 +102,24 @@ def _classes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _outline(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+    ranges = FINE if len(s) > FINE_FROM else RANGES
+    return np.minimum(np.bincount((s >> _U(54)).astype(np.int64) * ranges // FINE, minlength=ranges), 255).astype(np.uint8).tobytes()
 
 
-def _outlines_allow(n1, s1: np.ndarray, n2, s2: np.ndarray, num: int, den: int):
-    """Whether outlines (one a row) leave room for enough common shingles; very large sets always pass."""
-    room = np.minimum(s1, s2).sum(axis=-1, dtype=np.int64)
-    return (room >= need(n1, n2, num, den)) | (np.maximum(n1, n2) > LARGE)
+def _coarse(outline: bytes) -> np.ndarray:
+    """An outline in RANGES ranges."""
+    return np.frombuffer(outline, np.uint8).reshape(RANGES, -1).sum(axis=1, dtype=np.uint16)
 
 
-def _outlines(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, RANGES)
+def _outlines_allow(n1: int, s1: bytes, n2: int, s2: bytes, num: int, den: int) -> bool:
+    """Whether two outlines leave room for enough common shingles."""
+    if max(n1, n2) > LARGE:
+        return True
+    if len(s1) == len(s2):
+        room = np.minimum(np.frombuffer(s1, np.uint8), np.frombuffer(s2, np.uint8)).sum(dtype=np.int64)
+    else:
+        room = np.minimum(_coarse(s1), _coarse(s2)).sum(dtype=np.int64)
+    return bool(room >= need(n1, n2, num, den))
 
 
 def _sets(batch, width: int):
@@ -185,8 +192,8 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
 
     An entry is a token (subset or shingle), the class, and the shingle's place in the order (for subsets
     ``SUBSET``). It travels in eight bytes: 48 bits of the token, a chance match being a candidate more to
-    verify, and the place below 65535, a lesser place only weakening the filter. Classes are
-    given by how many entries each has.
+    verify, and the place below 65535, a lesser place only weakening the filter. Classes are given by one
+    fingerprint and the size, with how many entries each has; names that coincide mean candidates more, too.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -213,7 +220,7 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
             out: list[list] = [[], [], [], [], []]
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 own, many = np.unique(o[x:y], return_counts=True)  # ascending already
-                for col, v in zip(out, (int(b[x]), narrow(t[x:y]), many.astype(np.uint32).tobytes(), p[x:y].tobytes(), table[own].tobytes()), strict=True):
+                for col, v in zip(out, (int(b[x]), narrow(t[x:y]), many.astype(np.uint32).tobytes(), p[x:y].tobytes(), table[own, 0].tobytes() + table[own, 2].astype(np.uint32).tobytes()), strict=True):
                     col.append(v)
             yield pa.record_batch([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "tokens", "owners", "places", "classes"])
             for x in (names, known, tokens, owners, places):
@@ -262,12 +269,13 @@ def _match(num: int, den: int):
 
         base, parts = 0, []
         for t, o, p, c in zip(pdf["tokens"], pdf["owners"], pdf["places"], pdf["classes"], strict=True):
-            c = np.frombuffer(c, _U).reshape(-1, 3)
+            m = len(c) // 12
+            c = np.stack([np.frombuffer(c[: 8 * m], _U), np.frombuffer(c[8 * m :], np.uint32).astype(_U)], 1)
             parts.append((wide(t), np.repeat(np.arange(len(c)), np.frombuffer(o, np.uint32)) + base, np.frombuffer(p, np.uint16), c))
             base += len(c)
         table = np.concatenate([x[3] for x in parts])
         uniq, ids = np.unique(table, axis=0, return_inverse=True)
-        n_of = uniq[:, 2].astype(np.int64)
+        n_of = uniq[:, 1].astype(np.int64)
         t = np.concatenate([x[0] for x in parts])
         o = ids.reshape(-1)[np.concatenate([x[1] for x in parts])]
         p = np.concatenate([x[2] for x in parts]).astype(np.int64)
@@ -332,13 +340,16 @@ def _cross(num: int, den: int):
 
         pdf = pdf.sort_values(["n", "node"], kind="stable")
         node, label, n, p = (pdf[c].to_numpy() for c in ("node", "label", "n", "place"))
-        outline = _outlines(pdf["outline"])
+        outline = pdf["outline"].tolist()
+        coarse = np.stack([_coarse(x) for x in outline])
         last = np.searchsorted(n, n * den // num, "right")
         left, right = [], []
         for i in range(len(node)):
             j = np.arange(i + 1, last[i])
             j = j[(label[j] != label[i]) & _may(n[i], p[i], n[j], p[j], num, den)]
-            j = j[_outlines_allow(n[i], outline[i], n[j], outline[j], num, den)]
+            room = np.minimum(coarse[i], coarse[j]).sum(axis=1, dtype=np.int64)
+            j = j[(room >= need(n[i], n[j], num, den)) | (n[j] > LARGE)]
+            j = j[[_outlines_allow(int(n[i]), outline[i], int(n[k]), outline[k], num, den) for k in j.tolist()]] if len(j) else j
             if len(j):
                 left.append(np.full(len(j), node[i]))
                 right.append(node[j])
@@ -354,9 +365,8 @@ def _rule_out(num: int, den: int):
         import pyarrow as pa
 
         for batch in batches:
-            n1, n2 = np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b"))
-            s1, s2 = (_outlines(x.as_py() for x in batch.column(c)) for c in ("outline_a", "outline_b"))
-            mask = pa.array(_outlines_allow(n1, s1, n2, s2, num, den), pa.bool_())
+            sides = [batch.column(c).to_pylist() for c in ("n_a", "outline_a", "n_b", "outline_b")]
+            mask = pa.array([_outlines_allow(*row, num, den) for row in zip(*sides, strict=True)], pa.bool_())
             yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return run
@@ -441,14 +451,14 @@ def similarity_classes(
     sizes = classes.groupBy(F.least(F.col("n_shingles"), F.lit(32)).alias("n")).agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s")).collect()
     small = boundary({r["n"]: r["c"] for r in sizes if r["n"] < 32}, num, den)
     entries = sum(r["s"] for r in sizes) * (den - num) // den + sum(r["c"] for r in sizes)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // BUCKET_ENTRIES + 1)
+    buckets = entries // BUCKET_ENTRIES + 1
 
     packed = docs.mapInArrow(_entries(width, num, den, small, marks, buckets), "bucket long, tokens binary, owners binary, places binary, classes binary")
     found = cut(packed.groupBy("bucket").applyInPandas(_match(num, den), "token long, a0 long, a1 long, b0 long, b1 long, place long"))
 
     def named(df: DataFrame, side: str) -> DataFrame:
         to = classes.where("node is not null").select(
-            F.col("k0").alias(f"{side}0"), F.col("k1").alias(f"{side}1"), F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("outline").alias(f"outline_{side}")
+            F.col("k0").alias(f"{side}0"), F.col("n_shingles").alias(f"{side}1"), F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("outline").alias(f"outline_{side}")
         )
         return df.join(to, [f"{side}0", f"{side}1"]).drop(f"{side}0", f"{side}1")
 
@@ -459,7 +469,7 @@ def similarity_classes(
 
     lists = found.where("token is not null").select("token", "a0", "a1", "place")
     if lists.limit(1).count():
-        sized = lists.join(classes.select(F.col("k0").alias("a0"), F.col("k1").alias("a1"), "node", F.col("n_shingles").alias("n"), "outline"), ["a0", "a1"]).where("node is not null")
+        sized = lists.join(classes.select(F.col("k0").alias("a0"), F.col("n_shingles").alias("a1"), "node", F.col("n_shingles").alias("n"), "outline"), ["a0", "a1"]).where("node is not null")
         label = components(links)
         lists = cut(sized.join(label, "node", "left").select("token", "node", "n", "place", "outline", F.coalesce("component", "node").alias("label")))
         mixed = lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
