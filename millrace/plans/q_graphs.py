@@ -182,6 +182,24 @@ def opt_chains(spark, sf_dir):
     return G.chains(nodes, edges)
 
 
+_ALL = """WITH e AS (SELECT DISTINCT 'p:' || l_partkey AS src, 'o:' || l_orderkey AS dst FROM lineitem UNION SELECT 'o:' || o_orderkey, 'c:' || o_custkey FROM orders)"""
+
+
+@query(
+    _ALL
+    + """, o1 AS (SELECT src FROM e GROUP BY src HAVING count(*) = 1), i1 AS (SELECT dst FROM e GROUP BY dst HAVING count(*) = 1),
+l AS (SELECT src, dst FROM e WHERE src IN (SELECT src FROM o1) AND dst IN (SELECT dst FROM i1)),
+h AS (SELECT src AS head, dst FROM l WHERE src NOT IN (SELECT dst FROM l))
+SELECT head, CAST(CASE WHEN l.src IS NULL THEN 2 ELSE 3 END AS BIGINT) AS n FROM h LEFT JOIN l ON l.src = h.dst"""
+)
+def opt_chains_whole(spark, sf_dir):
+    """As ``opt_chains``, over all orders and line items."""
+    lines = table(spark, sf_dir, "lineitem").select(_id("p", "l_partkey").alias("src"), _id("o", "l_orderkey").alias("dst"))
+    edges = cut(lines.union(table(spark, sf_dir, "orders").select(_id("o", "o_orderkey"), _id("c", "o_custkey"))).distinct())
+    nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+    return G.chains(nodes, edges)
+
+
 _DEG = """, d AS (SELECT node_id, kind, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM nodes
 LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) i ON i.dst = node_id LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = node_id)"""
 

@@ -81,3 +81,14 @@ def test_integrity(spark, tables):
     assert got == {("ORPHAN_SOURCE", "lone"), ("UNREACHABLE", "d"), ("MISSING_NODE", "d")}
     states = spark.createDataFrame([("x", "CLEAN"), ("a", "DIRTY"), ("c", "CLEAN"), ("b", "CLEAN")], "node_id string, state string")
     assert names(G.stale_children(states, edges)) == {"c"}
+
+
+def test_chains_over_all_orders(spark, tmp_path):
+    """Order 5 alone would be a chain of three; order 7 has the same part and customer, so neither is."""
+    import __spark_entry__ as entry
+
+    lines, orders = [(1, 5), (1, 7), (2, 11)], [(5, 50), (7, 50), (11, 60)]
+    spark.createDataFrame(lines, "l_partkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {k: {(r["head"], r.n) for r in entry.queries()[k](spark, str(tmp_path)).collect()} for k in ("opt_chains", "opt_chains_whole")}
+    assert got == {"opt_chains": {("p:1", 3)}, "opt_chains_whole": {("p:2", 3)}}
