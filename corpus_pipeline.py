@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays, once."""
-    found = jaccard.near_duplicates(spark, docs)
+    found = jaccard.duplicate_groups(spark, docs)
     keep = found.where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id").distinct()
     keep = keep.withColumnRenamed("doc_id", "__id")
     # rows without doc_id cannot be told apart, so all of them stay

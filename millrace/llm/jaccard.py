@@ -17,7 +17,9 @@ Entries travel as packed arrays by hash bucket. Lists of up to 16 classes give t
 size and position filters, and pairs that meet in ``SHARED`` lists are candidates; in longer lists all members are compared with three pivots first,
 and only members which that has not joined into one component are compared with each other.
 So copies and near copies in large groups cost a few comparisons each, and no link that would change
-a component is lost. Candidates whose outlines (shingle counts in 256 hash ranges) already rule out
+a component is lost. The links inside a component of members of long lists are counted afterwards,
+block of members by block, by products of their incidence matrices, so that none is missing from the
+counts and no pair is written. Candidates whose outlines (shingle counts in 256 hash ranges) already rule out
 enough common shingles go; the rest are verified on the exact sets.
 """
 
@@ -54,6 +56,10 @@ SCAN_COST = 8
 RANGES = 256
 #: Sets beyond FINE_FROM shingles have FINE ranges; those beyond LARGE might not fit a byte a range, and are never ruled out.
 FINE, FINE_FROM, LARGE = 1024, 700, 100_000
+#: Members, and shingles together, that a block of a component is meant to hold when its links are counted.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
+#: Columns of an incidence matrix at a time.
+COLUMNS = 4096
 #: The place of entries that are subsets.
 SUBSET = 65535
 _BUFFER = 24 << 20
@@ -406,33 +412,122 @@ def _verify(num: int, den: int):
     return run
 
 
-def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)``, given by doc_id, whose sets are similar.
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of common shingles of each of ``left`` with each of ``right``."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    row_a, row_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    both = np.intersect1d(a, b)
+    if not len(both):
+        return out
+    cells = []
+    for t, row in ((a, row_a), (b, row_b)):
+        col = np.minimum(np.searchsorted(both, t), len(both) - 1)
+        ok = both[col] == t
+        order = np.argsort(col[ok], kind="stable")
+        cells.append((col[ok][order], row[ok][order]))
+    for x in range(0, len(both), COLUMNS):
+        sides = []
+        for (col, row), n in zip(cells, out.shape, strict=True):
+            p, q = np.searchsorted(col, [x, x + COLUMNS])
+            m = np.zeros((n, min(COLUMNS, len(both) - x)), np.float32)
+            m[row[p:q], col[p:q] - x] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _count(num: int, den: int):
+    """The links of each member of a block with those of another block, or with its own, in one component."""
+
+    def run(pdf):
+        import pandas as pd
+
+        nodes, links = [], []
+        for _, part in pdf.groupby("component", sort=False):
+            i, j = part["i"].iloc[0], part["j"].iloc[0]
+            sides = [part[part["block"] == k] for k in (i, j)]
+            if not len(sides[0]) or not len(sides[1]):
+                continue
+            sets = [[np.frombuffer(x, _U) for x in side["set"]] for side in sides]
+            shared = _shared(*sets)
+            n, m = (np.array([len(x) for x in side]) for side in sets)
+            similar = den * shared >= num * (n[:, None] + m[None, :] - shared)
+            if i == j:
+                np.fill_diagonal(similar, False)
+            nodes.append(sides[0]["node"].to_numpy())
+            links.append(similar.sum(axis=1))
+            if i != j:
+                nodes.append(sides[1]["node"].to_numpy())
+                links.append(similar.sum(axis=0))
+        return pd.DataFrame({"node": np.concatenate([*nodes, np.zeros(0, np.int64)]), "n_links": np.concatenate([*links, np.zeros(0, np.int64)])})
+
+    return run
+
+
+def _wanted_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, set)`` of the documents in ``wanted(doc_id)``.
 
     Only wanted documents' sets are built. A table of bits, whose size is bounded, keeps most others'
     texts out of the exchange; a semi join takes out the rest.
     """
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     bits = table_bits(wanted.count())
     at = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
     marked = bit_table(spark, wanted.select(at.alias("at")), bits)
     sets = docs.where("doc_id is not null").withColumn("at", at).mapInArrow(_pack(width, marked, bits), "doc_id long, set binary")
-    sets = cut(sets.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("set").alias("set")))
+    return cut(sets.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("set").alias("set")))
+
+
+def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(a, b)``, given by doc_id, whose sets are similar."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = _wanted_sets(spark, docs, wanted, width)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b"
     )
     return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long"))
 
 
+def _degrees(spark: SparkSession, docs: DataFrame, links: DataFrame, label: DataFrame, listed: DataFrame | None, width: int, num: int, den: int) -> DataFrame:
+    """``(node, n_links)``, with no link missing.
+
+    A link that ``links`` lacks is between two members of long lists, in one component. So pairs of
+    members of long lists are all counted here, and from ``links`` only the others. Each pair of
+    blocks of a component is a group, and gives a row for each member.
+    """
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    if listed is None:
+        return ends(links)
+    inner = cut(listed.join(label, "node"))
+    per = inner.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where("k > 1")
+    per = cut(per.select("component", "s", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("long").alias("blocks")))
+    buckets = (per.where("blocks = 1").agg(F.sum("s")).first()[0] or 0) // BLOCK_SHINGLES + 1
+    placed = cut(inner.join(per.drop("s"), "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
+    sets = _wanted_sets(spark, docs, placed.select(F.col("node").alias("doc_id")), width).withColumnRenamed("doc_id", "node")
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    whole = F.col("blocks") == 1
+    dealt = other.join(sets, "node").select(
+        F.when(whole, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(-1).alias("bucket"),
+        F.when(whole, 0).otherwise(F.col("component")).alias("of"),
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", "block", "node", "set",
+    )
+    counted = dealt.groupBy("bucket", "of", "i", "j").applyInPandas(_count(num, den), "node long, n_links long")
+    mark = lambda k: inner.select(F.col("node").alias(k), F.lit(True).alias(f"{k}_in"))
+    outside = links.join(mark("a"), "a", "left").join(mark("b"), "b", "left").where("a_in is null or b_in is null")
+    return cut(counted.where("n_links > 0").union(ends(outside)).groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+
 def similarity_classes(
     spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """Classes of equal shingle sets, and the verified links between them.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are left alone. Returns ``members(doc_id,
     n_shingles, k0, k1, node)``, one row per row of ``docs``, where node is the smallest doc_id
     with the same set (null where the set is empty), ``links(a, b)`` between nodes, and
-    ``labels(node, component)`` of the nodes that have links. The links connect all that is similar; in long lists those inside a component already found may be left out.
+    ``labels(node, component)`` of the nodes that have links. The links connect all that is similar; in
+    long lists those inside a component already found may be left out, and ``listed(node, n)`` has the
+    nodes in long lists, or is None where there are none: ``_degrees`` counts all links with it.
     Null texts and texts without words have empty sets. Rows without doc_id are counted as members
     but are not named; rows that repeat a doc_id count as one document.
     """
@@ -467,11 +562,12 @@ def similarity_classes(
     pairs = cut(pairs.mapInArrow(_rule_out(num, den), "a long, b long").where("a <> b").distinct())
     links = _verified(spark, docs, pairs, width, num, den)
 
-    lists = found.where("token is not null").select("token", "a0", "a1", "place")
+    lists, listed = found.where("token is not null").select("token", "a0", "a1", "place"), None
     if lists.limit(1).count():
         sized = lists.join(classes.select(F.col("k0").alias("a0"), F.col("n_shingles").alias("a1"), "node", F.col("n_shingles").alias("n"), "outline"), ["a0", "a1"]).where("node is not null")
         label = components(links)
         lists = cut(sized.join(label, "node", "left").select("token", "node", "n", "place", "outline", F.coalesce("component", "node").alias("label")))
+        listed = cut(lists.groupBy("node").agg(F.max("n").alias("n")))
         mixed = lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
         rest = lists.join(mixed, "token", "left_semi").groupBy("token").applyInPandas(_cross(num, den), "a long, b long")
         rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -482,7 +578,15 @@ def similarity_classes(
     else:
         label = components(links)
     members = own.join(classes, ["n_shingles", "k0", "k1"], "left")
-    return members, links, label
+    return members, links, label, listed
+
+
+def duplicate_groups(
+    spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY
+) -> DataFrame:
+    """``near_duplicates`` without ``n_links``, which costs a pass of its own."""
+    members, _, label, _ = similarity_classes(spark, docs, width, similarity)
+    return members.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
 def near_duplicates(
@@ -491,10 +595,12 @@ def near_duplicates(
     """``(doc_id, n_shingles, component_id, n_links)`` for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach, the document itself included;
-    ``n_links`` counts the verified links of the document's class to other classes.
+    ``n_links`` counts the verified links of the document's class to other classes, all of them.
     """
-    members, links, label = similarity_classes(spark, docs, width, similarity)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    num, den = (x // math.gcd(*similarity) for x in similarity)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    members, links, label, listed = similarity_classes(spark, docs, width, similarity)
+    degree = _degrees(spark, docs, links, label, listed, width, num, den)
     label = label.join(degree, "node", "left")
     return members.join(label, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")

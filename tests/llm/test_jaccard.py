@@ -35,6 +35,33 @@ def test_large_groups(spark, monkeypatch):
     assert run(spark, rows) == jaccard_components(rows)
 
 
+def test_links_are_all_counted(spark, monkeypatch):
+    """In long lists every pair of near copies counts, also within blocks and between them."""
+    monkeypatch.setattr(J, "SHORT_LIST", 3)
+    rng = random.Random(9)
+    base, rows = prose(rng, 120), corpus(4, 30)
+    rows += [(1000 + i, edit(rng, base, 0.01)) for i in range(40)]
+    rows += [(2000 + i, rows[-1][1]) for i in range(3)]
+    sets = {i: shingles(t) for i, t in rows}
+    classes = {s for s in sets.values() if s}
+    similar = {s: sum(s != o and 5 * len(s & o) >= 4 * len(s | o) for o in classes) for s in classes}
+    want = {i: similar.get(s, 0) for i, s in sets.items()}
+    assert max(want.values()) > 3
+    for block in (256, 7):
+        monkeypatch.setattr(J, "BLOCK", block)
+        got = {r.doc_id: r.n_links for r in J.near_duplicates(spark, documents(spark, rows)).collect()}
+        assert got == want
+    assert {r.doc_id: r.component_id for r in J.duplicate_groups(spark, documents(spark, rows)).collect()} == {i: c for i, (_, c) in jaccard_components(rows).items()}
+
+
+def test_shared_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = ([np.sort(rng.choice(400, n, replace=False)).astype(np.uint64) for n in sizes] for sizes in ((5, 200, 90), (300, 1)))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    monkeypatch.setattr(J, "COLUMNS", 7)
+    assert J._shared(a, b).tolist() == want
+
+
 def test_small_sets(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))) for i in range(150)]
