@@ -29,7 +29,7 @@ LEAST = 3
 #: Bounds of the training sample, for each language: documents, characters of each, and bytes together.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 8192
-SAMPLE_BYTES = 200_000
+SAMPLE_BYTES = 400_000
 UNDETERMINED = "und"
 _PIECE = 1 << 19
 _NEWLINE = 10
@@ -59,31 +59,32 @@ class Model:
         self.symbol[known] = np.arange(len(known))
         self.width = size = len(known) + 1
         unknown = max(1, 256 - len(known))  # bytes that share the last symbol
-        lead = np.full(ORDER, self.symbol[_NEWLINE], np.int32)
-        rows = [np.concatenate([lead, self.symbol[x].astype(np.int32)]) for x in folded]
-        lang = np.repeat(np.arange(len(rows), dtype=np.int16), [len(x) - ORDER for x in rows])
-        where = np.concatenate([np.arange(ORDER, len(x), dtype=np.int32) for x in rows])
-        base = np.cumsum([0, *[len(x) for x in rows]])[:-1].astype(np.int32)
-        flat = np.concatenate(rows)
-        at = where + base[lang]
-
-        # the union tree, level by level; node 0 is the root
-        parent, children, node = [np.array([-1])], [], np.zeros(len(at), np.int32)
-        levels = [(node, at, lang)]
+        lead = np.full(ORDER, self.symbol[_NEWLINE], self.symbol.dtype)
+        rows = [np.concatenate([lead, self.symbol[x]]) for x in folded]
+
+        # the union tree, level by level, one language at a time; node 0 is the root
+        parent, children = [np.array([-1])], []
+        at = [np.arange(ORDER, len(x), dtype=np.int32) for x in rows]
+        node = [np.zeros(len(x), np.int32) for x in at]
+
+        def successors():
+            return [np.unique(u.astype(np.int64) * size + x[i], return_counts=True) for u, i, x in zip(node, at, rows, strict=True)]
+
+        levels = [(np.zeros(1, np.int64), successors())]  # nodes; of each language the next symbols with their counts
         count = 1
         for depth in range(1, ORDER + 1):
-            key = node.astype(np.int64) * size + flat[at - depth]
-            uniq, inv, n = np.unique(key, return_inverse=True, return_counts=True)
-            kept = n >= LEAST
+            seen = [np.unique(u.astype(np.int64) * size + x[i - depth], return_counts=True) for u, i, x in zip(node, at, rows, strict=True)]
+            uniq, inv = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
+            kept = np.bincount(inv, np.concatenate([n for _, n in seen]), len(uniq)) >= LEAST
             number = np.full(len(uniq), -1, np.int32)
             number[kept] = count + np.arange(int(kept.sum()))
             parent.append(uniq[kept] // size)
             children.append((uniq[kept], number[kept]))
             count += int(kept.sum())
-            node = number[inv]
-            stay = node >= 0
-            node, at, lang = node[stay], at[stay], lang[stay]
-            levels.append((node, at, lang))
+            for k, x in enumerate(rows):
+                to = number[np.searchsorted(uniq, node[k].astype(np.int64) * size + x[at[k] - depth])]
+                node[k], at[k] = to[to >= 0], at[k][to >= 0]
+            levels.append((number[kept], successors()))
         parents = np.concatenate(parent)
         child = np.zeros(count * size, np.int32)  # 0: no such child
         for key, number in children:
@@ -96,9 +97,8 @@ class Model:
             spread = np.full(size, 1.0)
             spread[-1] = unknown
             prob = {-1: spread / spread.sum()}
-            for node, at, lang in levels:
-                mine = lang == k
-                pair, n = np.unique(node[mine].astype(np.int64) * size + flat[at[mine]], return_counts=True)
+            for level_nodes, follow in levels:
+                pair, n = follow[k]
                 nodes, first = np.unique(pair // size, return_index=True)
                 edge = [*first.tolist(), len(pair)]
                 for j, u in enumerate(nodes.tolist()):
@@ -121,7 +121,6 @@ class Model:
                     prob[int(own[u])] = p
                     costs.append(p)
                 # nodes of this level that the language lacks fall back to their parents
-                level_nodes = np.unique(node)
                 lacking = level_nodes[(own[level_nodes] == 0) & (level_nodes > 0)]
                 own[lacking] = own[parents[lacking]]
             if not costs:

@@ -59,6 +59,27 @@ def test_code_lengths_are_proper():
     assert whole[1].tolist() == [0, 0] and whole[0, 1] < whole[0, 0]
 
 
+def test_sample_and_memory_of_training(spark, monkeypatch):
+    """A language's sample is 400 000 bytes, and the arrays of training take less than they did for half of it."""
+    import random
+    import tracemalloc
+
+    from tests.llm.util import prose
+
+    got, rng = {}, random.Random(2)
+    with monkeypatch.context() as m:
+        m.setattr(L, "Model", got.update)
+        rows = [(i, prose(rng, 250), k) for k in ("a", "b") for i in range(450)]
+        L.train(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {k: len(v) for k, v in got.items()} == {"a": 400_000, "b": 400_000}
+    texts = {f"{k}{i}": v for k, v in got.items() for i in range(2)}
+    tracemalloc.start()
+    L.Model(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
 def test_long_texts_in_pieces(monkeypatch):
     m = L.Model({"a": b"abracadabra " * 50, "b": b"banana bandana " * 50})
     text = (b"abra banana " * 500)[:5555]
