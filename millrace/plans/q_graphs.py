@@ -144,6 +144,14 @@ def opt_dead_nodes(spark, sf_dir):
     return G.dead_nodes(nodes, edges, outputs)
 
 
+@query(H + _walk("SELECT 'o:' || o_orderkey AS seed, 'o:' || o_orderkey AS node_id FROM orders WHERE o_orderstatus = 'P'", True) + " SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM w)")
+def opt_dead_nodes_open(spark, sf_dir):
+    """As ``opt_dead_nodes``, for all open orders as outputs."""
+    nodes, edges = hierarchy(spark, sf_dir)
+    outputs = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(_id("o", "o_orderkey").alias("node_id"))
+    return G.dead_nodes(nodes, edges, outputs)
+
+
 @query("SELECT 'c:' || c_custkey AS node_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def opt_orphan_inputs(spark, sf_dir):
     """Customers as sources of open orders: those without any."""
