@@ -1,10 +1,14 @@
 """Main text of web pages: a recurrent network labels every block, reading the whole page.
 
 A page becomes a sequence of leaves, the text blocks between block-level tags. A leaf is two hashed
-vectors, of its tag path (open elements with their classes and ids) and of its words, and a few plain
+vectors, of its tag path (open elements with their classes and ids) and of all its words, and a few plain
 measures. A bidirectional LSTM, in numpy, reads the sequence both ways, so that each block is
 classified with the document around it. The main blocks, in page order, are the text.
 
+Before the network, only what a browser does not show as text of the page goes: titles, comments, scripts, styles,
+templates, frames, the fields of forms (``select``, ``textarea``) and annotations of formulas. Parsing takes time in proportion
+to the page, however deep, unclosed or broken its tags are.
+
 The network is trained here, on pages made up by ``made_page`` from random words in many layouts, so
 their labels are known by construction. Its weights lie beside this module; ``python -m
 millrace.llm.htmltext`` makes them anew.
@@ -14,18 +18,19 @@ from __future__ import annotations
 
 import html as entities
 import re
-import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from pathlib import Path
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import prepare
+from millrace.llm.common import prepare, slices, word_hashes
 
 PATH_BITS = 128
-WORD_BITS = 32
+WORD_BITS = 64
 PLAIN = 8
 HIDDEN = 16
 WIDTH = PATH_BITS + WORD_BITS + PLAIN
@@ -34,157 +39,266 @@ WEIGHTS = Path(__file__).with_name("htmltext.npz")
 PIECE = 512
 #: Leaves, padding included, that go through the network together.
 TOGETHER = 16_384
+#: Characters of html that are parsed before their leaves are labelled.
+PAGES = 4 << 20
+#: Tags with a quote that never ends after which quotes no longer hide a tag's end.
+BROKEN = 16
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|object|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S | re.I,
-)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)")
+_SIMPLE_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-label|itemprop|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Elements whose content is not markup: it ends at their own end tag only.
+RAW = frozenset("script style textarea iframe".split())
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)|\Z", re.I) for t in RAW}
+#: Elements whose content is not shown as text of the page.
+UNSEEN = frozenset("title select template annotation annotation-xml".split())
+#: What may stand in a head; any other tag ends it.
+IN_HEAD = frozenset("title meta link base style script noscript template html head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext object q rp rt ruby s samp semantics small span strike strong sub sup svg time tt u var wbr".split()
 )
+#: Tags that do not end the block around them.
+WITHIN = INLINE | UNSEEN
 #: Elements that end when one of these opens: tags that HTML lets authors leave out.
 CLOSED_BY = {
-    "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
-    "li": frozenset(["li"]),
-    "dt": frozenset(["dt", "dd"]),
-    "dd": frozenset(["dt", "dd"]),
-    "tr": frozenset(["tr", "tbody", "tfoot"]),
-    "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
-    "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
-    "option": frozenset(["option", "optgroup"]),
-    "head": frozenset(["body"]),
+    "p": "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(),
+    "li": ["li"],
+    "dt": ["dt", "dd"],
+    "dd": ["dt", "dd"],
+    "tr": ["tr", "tbody", "tfoot"],
+    "td": ["td", "th", "tr", "tbody", "tfoot"],
+    "th": ["td", "th", "tr", "tbody", "tfoot"],
+    "option": ["option", "optgroup"],
 }
+_CLOSES: dict[str, list[str]] = {}
+for _t, _by in CLOSED_BY.items():
+    for _o in _by:
+        _CLOSES.setdefault(_o, []).append(_t)
 SCOPE = frozenset(["table", "ul", "ol", "dl", "div", "article", "section", "body", "main", "aside", "td", "blockquote"])
 
 
-class Leaf:
-    __slots__ = ("path", "tag", "text", "linked", "marked")
+class Element:
+    """An open element. ``bits``: the hashed names of it and all around it; ``block``: its nearest block-level tag."""
+
+    __slots__ = ("tag", "bits", "depth", "block")
+
+    def __init__(self, tag: str, bits: int, depth: int, block: str) -> None:
+        self.tag, self.bits, self.depth, self.block = tag, bits, depth, block
+
 
-    def __init__(self, path, tag, text, linked, marked):
-        self.path, self.tag, self.text, self.linked, self.marked = path, tag, text, linked, marked
+_OUTSIDE = Element("", 0, 0, "")
 
 
-def _names(tag: str, attributes: str) -> tuple[str, ...]:
-    """The tag and the words of its class, id and role."""
-    out = [tag]
-    if attributes and not attributes.isspace():
-        for m in _ATTRIBUTE.finditer(attributes):
-            kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if kind == "hidden" or kind == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                out.append("#hidden")
-            elif kind != "style":
-                out += [f".{w.lower()}" for w in _NAME_PART.findall(value)][:12]
-    return tuple(out)
+class Leaf:
+    __slots__ = ("at", "text", "linked")
+
+    def __init__(self, at: Element, text: str, linked: float) -> None:
+        self.at, self.text, self.linked = at, text, linked
+
+    @property
+    def tag(self) -> str:
+        return self.at.block
+
+
+_bits: dict[tuple[str, str], int] = {}
+
+
+def _own_bits(tag: str, attributes: str) -> int:
+    """The tag and the words of its class, id, role and the like, as hashed bits."""
+    known = _bits.get((tag, attributes))
+    if known is not None:
+        return known
+    names = {tag}
+    for m in _ATTRIBUTE.finditer(attributes):
+        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if kind == "hidden" or kind == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            names.add("#hidden")
+        elif kind != "style":
+            names.update(f".{w.lower()}" for w in _NAME_PART.findall(value))
+    out = 0
+    for n in names:
+        out |= 1 << crc32(n.encode()) % PATH_BITS
+    if len(_bits) > 50_000:
+        _bits.clear()
+    if len(attributes) < 500:
+        _bits[tag, attributes] = out
+    return out
+
+
+class _Open:
+    """The open elements, with what is asked about them kept up to date."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.unseen = self.linked = 0
+
+    def push(self, tag: str, attributes: str) -> None:
+        above = self.stack[-1] if self.stack else _OUTSIDE
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.unseen += tag in UNSEEN
+        self.linked += tag == "a" or tag == "button"
+        self.stack.append(Element(tag, above.bits | _own_bits(tag, attributes), above.depth + 1, above.block if tag in INLINE else tag))
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+            self.unseen -= tag in UNSEEN
+            self.linked -= tag == "a" or tag == "button"
+
+    def opens(self, tag: str) -> None:
+        """End what ``tag`` ends by opening: elements up to the nearest one that bounds such an effect."""
+        if tag not in IN_HEAD and self.places.get("head"):
+            self.cut(self.places["head"][0])
+        names = _CLOSES.get(tag)
+        if not names:
+            return
+        bound = -1
+        for i in reversed(self.scopes):
+            if self.stack[i].tag not in CLOSED_BY:
+                bound = i
+                break
+        least = len(self.stack)
+        for t in names:
+            own = self.places.get(t)
+            if own and own[-1] > bound:
+                least = min(least, own[bisect_right(own, bound)])
+        self.cut(least)
+
+    def closes(self, tag: str) -> None:
+        own = self.places.get(tag)
+        if own and not (tag in INLINE and self.scopes and self.scopes[-1] > own[-1]):
+            self.cut(own[-1])
 
 
 def leaves(page: str) -> list[Leaf]:
-    """The text blocks of a page in order, with their open elements; head, scripts and markup left out."""
+    """The text blocks of a page in order, with their open elements."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
     parts: list[str] = []
-    linked = 0
+    linked, where, broken, size = 0, None, 0, len(page)
 
     def end() -> None:
-        nonlocal parts, linked
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+        nonlocal linked, where
+        if where is not None:
+            text = " ".join("".join(parts).split())
             if text:
-                block = next((t for t, _ in reversed(where_stack) if t not in INLINE), "")
-                out.append(Leaf(tuple(n for _, n in where_stack), block, text, min(1.0, linked / max(1, len(text))), 0.0))
-            parts, linked = [], 0
-
-    where_stack: list[tuple[str, tuple[str, ...]]] = []
-    at = 0
+                out.append(Leaf(where, text, min(1.0, linked / len(text))))
+        parts.clear()
+        linked, where = 0, None
 
     def add(text: str) -> None:
-        nonlocal linked, where_stack
-        if not text or any(t in ("head", "title") for t, _ in stack):
+        nonlocal linked, where
+        if open_.unseen:
             return
-        if not parts or not "".join(parts).strip():
-            where_stack = list(stack)
+        if "&" in text:
+            text = entities.unescape(text)
+        if where is None:
+            if text.isspace():
+                return
+            where = open_.stack[-1] if open_.stack else _OUTSIDE
         parts.append(text)
-        if any(t == "a" or t == "button" for t, _ in stack):
+        if open_.linked:
             linked += len(text.strip())
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[3].lower() if m[3] else ""
-        if not tag:
-            if m[1]:
-                parts.append(" ") if parts else None
+    at = begin = 0
+    while at < size:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        after = page[at + 1 : at + 2]
+        if after == "!" or after == "?":
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                stop = size if stop < 0 else stop + 3
+            elif page.startswith("<![CDATA[", at):
+                stop = page.find("]]>", at)
+                stop = size if stop < 0 else stop + 3
+            else:
+                stop = page.find(">", at)
+                stop = size if stop < 0 else stop + 1
+            if at > begin:
+                add(page[begin:at])
+            at = begin = stop
+            continue
+        m = _TAG.match(page, at) if broken < BROKEN else None
+        if m is None and (after.isascii() and after.isalpha() or after == "/"):
+            m = _SIMPLE_TAG.match(page, at)
+            broken += m is not None
+        if m is None:
+            at += 1
             continue
+        if at > begin:
+            add(page[begin:at])
+        tag, attributes = m[1].lower(), m[2]
+        begin = m.end()
         if tag == "br":
-            parts.append(" ") if parts else None
-        elif m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag not in INLINE:
+            parts.append(" ")
+        elif after == "/":
+            if tag not in WITHIN:
                 end()
-            if depth is not None and not (tag in INLINE and any(t in SCOPE for t, _ in stack[depth + 1 :])):
-                del stack[depth:]
+            open_.closes(tag)
+        elif tag in RAW:
+            if tag not in ("script", "style"):
+                parts.append(" ")
+            begin = _RAW_END[tag].search(page, begin).end()
         else:
-            if tag not in INLINE:
+            if tag not in WITHIN:
                 end()
-                i = len(stack) - 1
-                while i >= 0:
-                    t = stack[i][0]
-                    if tag in CLOSED_BY.get(t, ()):
-                        del stack[i:]
-                    elif t in SCOPE and t not in CLOSED_BY:
-                        break
-                    i -= 1
-            if tag not in VOID and not m[4].rstrip().endswith("/"):
-                stack.append((tag, _names(tag, m[4])))
-    if at < len(page):
-        add(page[at:])
+                open_.opens(tag)
+            if tag not in VOID and not attributes.rstrip().endswith("/"):
+                open_.push(tag, attributes)
+        at = begin
+    if begin < size:
+        add(page[begin:])
     end()
     return out
 
 
-_cells: dict[str, int] = {}
-
-
-def _cell(name: str, size: int) -> int:
-    key = f"{size}{name}"
-    got = _cells.get(key)
-    if got is None:
-        if len(_cells) > 200_000:
-            _cells.clear()
-        got = _cells[key] = zlib.crc32(name.encode()) % size
-    return got
+_PLAIN_TAGS = {"h1": 1, "h2": 1, "h3": 1, "li": 2, "p": 3, "td": 4}
+_NO_MARKS = np.arange(256, dtype=np.uint8)
+_NO_MARKS[np.frombuffer(b".,:;!?()\"'", np.uint8)] = 0x20
 
 
-_PLAIN_TAGS = {"h1": 1, "h2": 1, "h3": 1, "li": 2, "p": 3, "td": 4}
-_paths: dict[tuple, list[int]] = {}
+def _word_shares(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its words' counts by hashed cell, scaled to unit length, and the number of its words."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    data = _NO_MARKS[np.frombuffer(b"".join(raw), np.uint8)]
+    out, number = np.zeros((len(texts), WORD_BITS), np.float32), np.zeros(len(texts), np.int64)
+    for a, b in slices(offsets):
+        lo, hi = offsets[a], offsets[b]
+        words, first = word_hashes(data[lo:hi], offsets[a : b + 1] - lo)
+        number[a:b] = np.diff(first)
+        cell = np.repeat(np.arange(b - a), number[a:b]) * WORD_BITS + (words % np.uint64(WORD_BITS)).astype(np.int64)
+        out[a:b] = np.bincount(cell, minlength=(b - a) * WORD_BITS).reshape(b - a, WORD_BITS)
+    return out / np.sqrt(np.maximum((out**2).sum(axis=1, keepdims=True), 1)), number
 
 
 def vectors(found: list[Leaf]) -> np.ndarray:
     """One row for each leaf: hashed tag path, hashed words, and plain measures."""
     out = np.zeros((len(found), WIDTH), np.float32)
-    for i, leaf in enumerate(found):
-        cells = _paths.get(leaf.path)
-        if cells is None:
-            if len(_paths) > 50_000:
-                _paths.clear()
-            cells = _paths[leaf.path] = sorted({_cell(n, PATH_BITS) for names in leaf.path for n in names})
-        row = out[i]
-        row[cells] = 1.0
-        words = leaf.text.split(" ")
-        n = len(words)
-        few = words if n <= 12 else [*words[:6], *words[-6:]]
-        for w in few:
-            row[PATH_BITS + _cell(w.lower().strip(".,:;!?()\"'"), WORD_BITS)] = 0.5
-        base = PATH_BITS + WORD_BITS
-        row[base] = leaf.linked
-        row[base + 1] = min(n, 60) / 30
-        row[base + 2] = len(leaf.path) / 10
-        row[base + 3 + _PLAIN_TAGS.get(leaf.tag, 0)] = 1.0 if leaf.tag in _PLAIN_TAGS else 0.0
+    if not found:
+        return out
+    bits = b"".join(leaf.at.bits.to_bytes(PATH_BITS // 8, "little") for leaf in found)
+    out[:, :PATH_BITS] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").reshape(len(found), PATH_BITS)
+    out[:, PATH_BITS : PATH_BITS + WORD_BITS], n = _word_shares([leaf.text for leaf in found])
+    plain = out[:, PATH_BITS + WORD_BITS :]
+    plain[:, 0] = [leaf.linked for leaf in found]
+    plain[:, 1] = np.log1p(n) / 3
+    plain[:, 2] = np.log1p([leaf.at.depth for leaf in found])
+    for row, leaf in zip(plain, found, strict=True):
+        kind = _PLAIN_TAGS.get(leaf.at.block)
+        if kind:
+            row[3 + kind] = 1.0
     return out
 
 
@@ -285,6 +399,13 @@ class Extractor:
 
     def texts(self, pages: list[str]) -> list[str]:
         """The main text of each page: its main blocks with an empty line between them."""
+        out = [""] * len(pages)
+        sizes = np.concatenate([[0], np.cumsum([len(p) for p in pages])]).astype(np.int64)
+        for a, b in slices(sizes, PAGES):
+            out[a:b] = self._texts(pages[a:b])
+        return out
+
+    def _texts(self, pages: list[str]) -> list[str]:
         found = [leaves(p) for p in pages]
         out = [""] * len(pages)
         order = sorted((i for i in range(len(pages)) if found[i]), key=lambda i: len(found[i]))
@@ -390,7 +511,11 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             inner = ""
             for _ in range(int(rng.integers(1, 4))):
                 t = str(rng.choice(kinds))
-                said_now = words(2, 40 if kind in ("aside", "notice", "footer", "ad") else 10, said if rng.random() < 0.4 else "")
+                most = 40 if kind in ("aside", "notice", "footer", "ad") else 10
+                if kind in ("notice", "ad") and rng.random() < 0.2:  # a long one, whose telling words may stand anywhere
+                    said_now = f"{words(10, 60)} {words(8, 30, said)} {words(10, 60)}"
+                else:
+                    said_now = words(2, most, said if rng.random() < 0.4 else "")
                 inner += f"<{t}>{said_now}</{t}>" if t else said_now
         return f"<{tag}{a}>{inner}</{tag}>"
 
@@ -443,12 +568,16 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     before = [k for k in ("notice", "header", "nav", "ad", "share") if rng.random() < 0.55]
     after = [k for k in ("share", "comments", "form", "aside", "ad", "nav", "footer", "notice") if rng.random() < 0.5]
     head = "".join(chrome(k) for k in before)
-    style = rng.integers(0, 6)
+    style = rng.integers(0, 8)
     body = article()
     wrap = {0: ("<article>", "</article>"), 1: ("<main>", "</main>"), 2: ("<main><article>", "</article></main>")}
     a, z = wrap.get(int(style), (f'<div{attr(" ".join(_MAIN), 1.0)}>', "</div>"))
     if style == 5:
         a, z = f'<section{attr(" ".join(_MAIN), 0.7)}>', "</section>"
+    if style == 6:  # nothing tells the article's element from others
+        a, z = f'<div{attr("a1 b2 box block section inner c7 row", 0.6)}>', "</div>"
+    if style == 7:
+        a, z = "", ""
     if rng.random() < 0.3:
         a, z = f'<div{attr("wrapper container page layout row col site", 0.9)}>' + a, z + "</div>"
     if rng.random() < 0.2:
@@ -470,7 +599,7 @@ def labelled(page: str, main: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return vectors(found), y
 
 
-def train(pages: int = 6000, rounds: int = 4, batch: int = 32, seed: int = 11) -> dict[str, np.ndarray]:
+def train(pages: int = 20_000, rounds: int = 6, batch: int = 32, seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     data = [labelled(*made_page(rng)) for _ in range(pages)]
     net = Network.fresh()
