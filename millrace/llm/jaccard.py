@@ -27,10 +27,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import bit_table, cut, mix, narrow, prepare, shingle_sets, slices, table_bits, utf8, wide
 from millrace.llm.graph import components, merge_components
@@ -379,7 +381,7 @@ def _rule_out(num: int, den: int):
 
 
 def _pack(width: int, wanted, bits: int):
-    """Sets of the documents that the table of wanted ones marks."""
+    """Classes and sets of the documents that the table of wanted ones marks."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -389,7 +391,11 @@ def _pack(width: int, wanted, bits: int):
             at = np.asarray(batch.column("at"))
             batch = batch.filter(pa.array(marked[at].astype(bool)))
             for a, b, sets in _sets(batch, width):
-                yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set"])
+                own = _classes(sets).view(np.int64)
+                yield pa.record_batch(
+                    [batch.column("doc_id").slice(a, b - a), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "k0", "k1", "set"],
+                )
 
     return run
 
@@ -465,30 +471,59 @@ def _count(num: int, den: int):
     return run
 
 
-def _wanted_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, set)`` of the documents in ``wanted(doc_id)``.
+@dataclass
+class Classes:
+    """``table(node, first, n_shingles, k0, k1, outline)``: the classes of equal sets, by name.
+
+    ``first`` is the smallest doc_id of a class. It is its name, too, unless some doc_id stands for rows with
+    different sets (``mixed``): then names are hashes of ``first`` and the class.
+    """
+
+    table: DataFrame
+    mixed: bool
+
+    def name(self, doc_id: str) -> Column:
+        """The name of the class, k0 and k1, whose smallest doc_id is given."""
+        return F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id, "k0", "k1")) if self.mixed else F.col(doc_id)
+
+    def documents_of(self, nodes: DataFrame) -> DataFrame:
+        """``doc_id`` of a document of each of ``nodes(node)``."""
+        return nodes.join(self.table.select("node", F.col("first").alias("doc_id")), "node").select("doc_id").distinct() if self.mixed else nodes.select(F.col("node").alias("doc_id"))
+
+    def first_of(self, label: DataFrame) -> DataFrame:
+        """``label(node, component)`` with the smallest doc_id of each component as its name."""
+        if not self.mixed:
+            return label
+        least = label.join(self.table.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+        return label.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _wanted_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, classes: Classes, width: int) -> DataFrame:
+    """``(node, set)`` of the classes in ``wanted(node)``.
 
     Only wanted documents' sets are built. A table of bits, whose size is bounded, keeps most others'
     texts out of the exchange; a semi join takes out the rest.
     """
     bits = table_bits(wanted.count())
     at = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
-    marked = bit_table(spark, wanted.select(at.alias("at")), bits)
-    sets = docs.where("doc_id is not null").withColumn("at", at).mapInArrow(_pack(width, marked, bits), "doc_id long, set binary")
-    return cut(sets.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("set").alias("set")))
-
-
-def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)``, given by doc_id, whose sets are similar."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = _wanted_sets(spark, docs, wanted, width)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b"
+    marked = bit_table(spark, classes.documents_of(wanted).select(at.alias("at")), bits)
+    sets = docs.where("doc_id is not null").withColumn("at", at).mapInArrow(_pack(width, marked, bits), "doc_id long, k0 long, k1 long, set binary")
+    sets = sets.select(classes.name("doc_id").alias("node"), "set")
+    # rows of one name have equal sets, so any will do
+    return cut(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+
+
+def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: Classes, width: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(a, b)``, given by name, whose sets are similar."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _wanted_sets(spark, docs, wanted, classes, width)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"
     )
     return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long"))
 
 
-def _degrees(spark: SparkSession, docs: DataFrame, links: DataFrame, label: DataFrame, listed: DataFrame | None, width: int, num: int, den: int) -> DataFrame:
+def _degrees(spark: SparkSession, docs: DataFrame, found: Found, width: int, num: int, den: int) -> DataFrame:
     """``(node, n_links)``, with no link missing.
 
     A link that ``links`` lacks is between two members of long lists, in one component. So pairs of
@@ -496,14 +531,15 @@ def _degrees(spark: SparkSession, docs: DataFrame, links: DataFrame, label: Data
     blocks of a component is a group, and gives a row for each member.
     """
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    if listed is None:
+    links = found.links
+    if found.listed is None:
         return ends(links)
-    inner = cut(listed.join(label, "node"))
+    inner = cut(found.listed.join(found.label, "node"))
     per = inner.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where("k > 1")
     per = cut(per.select("component", "s", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("long").alias("blocks")))
     buckets = (per.where("blocks = 1").agg(F.sum("s")).first()[0] or 0) // BLOCK_SHINGLES + 1
     placed = cut(inner.join(per.drop("s"), "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
-    sets = _wanted_sets(spark, docs, placed.select(F.col("node").alias("doc_id")), width).withColumnRenamed("doc_id", "node")
+    sets = _wanted_sets(spark, docs, placed.select("node"), found.classes, width)
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     whole = F.col("blocks") == 1
     dealt = other.join(sets, "node").select(
@@ -517,33 +553,48 @@ def _degrees(spark: SparkSession, docs: DataFrame, links: DataFrame, label: Data
     return cut(counted.where("n_links > 0").union(ends(outside)).groupBy("node").agg(F.sum("n_links").alias("n_links")))
 
 
-def similarity_classes(
-    spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
-    """Classes of equal shingle sets, and the verified links between them.
+@dataclass
+class Found:
+    """The result of the join.
 
-    ``docs`` has ``doc_id`` and ``text``; other columns are left alone. Returns ``members(doc_id,
-    n_shingles, k0, k1, node)``, one row per row of ``docs``, where node is the smallest doc_id
-    with the same set (null where the set is empty), ``links(a, b)`` between nodes, and
-    ``labels(node, component)`` of the nodes that have links. The links connect all that is similar; in
+    ``members(doc_id, n_shingles, k0, k1, node)`` has a row for each row of the documents, node being the name of its
+    class (null where the set is empty or no row of the class has a doc_id), ``links(a, b)`` stand between names, and
+    ``label(node, component)`` has the names that have links. The links connect all that is similar; in
     long lists those inside a component already found may be left out, and ``listed(node, n)`` has the
-    nodes in long lists, or is None where there are none: ``_degrees`` counts all links with it.
-    Null texts and texts without words have empty sets. Rows without doc_id are counted as members
-    but are not named; rows that repeat a doc_id count as one document.
+    names in long lists, or is None where there are none: ``_degrees`` counts all links with it.
+    """
+
+    members: DataFrame
+    links: DataFrame
+    label: DataFrame
+    listed: DataFrame | None
+    classes: Classes
+
+
+def similarity_classes(spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> Found:
+    """Classes of equal shingle sets, and the verified links between them.
+
+    ``docs`` has ``doc_id`` and ``text``; other columns are left alone. Null texts and texts without words have
+    empty sets. Rows without doc_id are counted as members but are not named. Rows that repeat a doc_id with the
+    same set count as one; with different sets, each set is linked by itself.
     """
     prepare(spark)
     num, den = (x // math.gcd(*similarity) for x in similarity)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = cut(docs.mapInArrow(_survey(width), "doc_id long, n_shingles long, k0 long, k1 long, frequent boolean, outline binary"))
     own = survey.where("not frequent").drop("frequent", "outline")
+    several = own.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("k0", "k1")).alias("x"), F.max(F.struct("k0", "k1")).alias("y"))
+    mixed = bool(several.where("x <> y").limit(1).count())
     grouped = survey.where("n_shingles > 0 and not frequent").groupBy("n_shingles", "k0", "k1")
-    classes = cut(grouped.agg(F.min("doc_id").alias("node"), F.max("outline").alias("outline")))
+    grouped = grouped.agg(F.min("doc_id").alias("first"), F.max("outline").alias("outline"))
+    classes = Classes(None, mixed)
+    classes.table = cut(grouped.withColumn("node", classes.name("first")))
 
     # frequent shingles as a table of bits: at most 2^MARKS of them, whatever the input
     often = survey.where("frequent").groupBy("k0").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= FREQUENT)
     marks = bit_table(spark, often.select(F.shiftrightunsigned("k0", 64 - MARKS).alias("at")), MARKS)
 
-    sizes = classes.groupBy(F.least(F.col("n_shingles"), F.lit(32)).alias("n")).agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s")).collect()
+    sizes = classes.table.groupBy(F.least(F.col("n_shingles"), F.lit(32)).alias("n")).agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s")).collect()
     small = boundary({r["n"]: r["c"] for r in sizes if r["n"] < 32}, num, den)
     entries = sum(r["s"] for r in sizes) * (den - num) // den + sum(r["c"] for r in sizes)
     buckets = entries // BUCKET_ENTRIES + 1
@@ -552,7 +603,7 @@ def similarity_classes(
     found = cut(packed.groupBy("bucket").applyInPandas(_match(num, den), "token long, a0 long, a1 long, b0 long, b1 long, place long"))
 
     def named(df: DataFrame, side: str) -> DataFrame:
-        to = classes.where("node is not null").select(
+        to = classes.table.where("node is not null").select(
             F.col("k0").alias(f"{side}0"), F.col("n_shingles").alias(f"{side}1"), F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("outline").alias(f"outline_{side}")
         )
         return df.join(to, [f"{side}0", f"{side}1"]).drop(f"{side}0", f"{side}1")
@@ -560,11 +611,11 @@ def similarity_classes(
     pairs = found.where("token is null").groupBy("a0", "a1", "b0", "b1").agg(F.sum("place").alias("lists"))
     pairs = named(named(pairs.where(F.col("lists") >= SHARED).drop("lists"), "a"), "b")
     pairs = cut(pairs.mapInArrow(_rule_out(num, den), "a long, b long").where("a <> b").distinct())
-    links = _verified(spark, docs, pairs, width, num, den)
+    links = _verified(spark, docs, pairs, classes, width, num, den)
 
     lists, listed = found.where("token is not null").select("token", "a0", "a1", "place"), None
     if lists.limit(1).count():
-        sized = lists.join(classes.select(F.col("k0").alias("a0"), F.col("n_shingles").alias("a1"), "node", F.col("n_shingles").alias("n"), "outline"), ["a0", "a1"]).where("node is not null")
+        sized = lists.join(classes.table.select(F.col("k0").alias("a0"), F.col("n_shingles").alias("a1"), "node", F.col("n_shingles").alias("n"), "outline"), ["a0", "a1"]).where("node is not null")
         label = components(links)
         lists = cut(sized.join(label, "node", "left").select("token", "node", "n", "place", "outline", F.coalesce("component", "node").alias("label")))
         listed = cut(lists.groupBy("node").agg(F.max("n").alias("n")))
@@ -572,21 +623,22 @@ def similarity_classes(
         rest = lists.join(mixed, "token", "left_semi").groupBy("token").applyInPandas(_cross(num, den), "a long, b long")
         rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if rest.limit(1).count():
-            more = _verified(spark, docs, rest, width, num, den)
+            more = _verified(spark, docs, rest, classes, width, num, den)
             label = merge_components(label, more)
             links = cut(links.union(more))
     else:
         label = components(links)
-    members = own.join(classes, ["n_shingles", "k0", "k1"], "left")
-    return members, links, label, listed
+    members = own.join(classes.table.drop("outline"), ["n_shingles", "k0", "k1"], "left")
+    return Found(members, links, label, listed, classes)
 
 
 def duplicate_groups(
     spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY
 ) -> DataFrame:
-    """``near_duplicates`` without ``n_links``, which costs a pass of its own."""
-    members, _, label, _ = similarity_classes(spark, docs, width, similarity)
-    return members.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    """``near_duplicates`` without ``n_links``, which costs a pass of its own, but with k0 and k1, the fingerprint of the set."""
+    found = similarity_classes(spark, docs, width, similarity)
+    label = found.classes.first_of(found.label)
+    return found.members.join(label, "node", "left").select("doc_id", "n_shingles", "k0", "k1", F.coalesce("component", "first", "doc_id").alias("component_id"))
 
 
 def near_duplicates(
@@ -595,13 +647,34 @@ def near_duplicates(
     """``(doc_id, n_shingles, component_id, n_links)`` for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach, the document itself included;
-    ``n_links`` counts the verified links of the document's class to other classes, all of them.
+    ``n_links`` counts the verified links of the document's class to other classes, all of them. A row whose
+    doc_id is repeated with another text has the component and the links of its own text.
     """
     num, den = (x // math.gcd(*similarity) for x in similarity)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members, links, label, listed = similarity_classes(spark, docs, width, similarity)
-    degree = _degrees(spark, docs, links, label, listed, width, num, den)
-    label = label.join(degree, "node", "left")
-    return members.join(label, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    found = similarity_classes(spark, docs, width, similarity)
+    degree = _degrees(spark, docs, found, width, num, den)
+    label = found.classes.first_of(found.label).join(degree, "node", "left")
+    return found.members.join(label, "node", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+
+
+def _keyed(width: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = [_classes(sets).view(np.int64) for _, _, sets in _sets(batch, width)]
+            if keys:
+                own = np.concatenate(keys)
+                names = [*batch.schema.names, "__k0", "__k1"]
+                yield pa.record_batch([*batch.columns, pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], names=names)
+
+    return run
+
+
+def with_class(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs``, whose ``text`` is a string, with the fingerprint of the text's shingle set as ``__k0`` and ``__k1``."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__k0", T.LongType()), T.StructField("__k1", T.LongType())])
+    return docs.mapInArrow(_keyed(width), schema)

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -82,6 +83,58 @@ def test_odd_tables(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == sorted([(4, 1, 4), (4, 1, 4), (7, 0, 7), (None, 0, None), (None, 1, 4)], key=str)
 
 
+def by_rows(rows):
+    """Brute force with a vertex for each row."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in itertools.combinations(range(len(rows)), 2):
+        if sets[x] and sets[y] and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+            root[find(x)] = find(y)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(((d, len(sets[i]), least.get(find(i), d)) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def by_operator(spark, rows):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.near_duplicates(spark, documents(spark, rows)).collect()), key=str)
+
+
+def test_repeated_doc_ids_with_other_texts(spark):
+    """Every text of a doc_id takes part, in whatever order the rows come."""
+    rng = random.Random(8)
+    a, b = prose(rng, 80), prose(rng, 90)
+    rows = [(5, a), (5, b), (7, b + " more"), (9, "more " + a)]
+    want = by_rows(rows)
+    assert {d: c for d, _, c in want} == {5: 5, 7: 5, 9: 5}
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [1, 0, 3, 2], [2, 1, 3, 0]):
+        assert by_operator(spark, [rows[i] for i in order]) == want
+
+
+def test_few_doc_ids_for_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(J, "SHORT_LIST", 3)
+    rng = random.Random(10)
+    rows = [(None if i % 11 == 0 else i % 7, t) for i, t in corpus(6, 60)]
+    base = prose(rng, 100)
+    rows += [(i % 5, edit(rng, base, 0.01)) for i in range(25)]
+    assert by_operator(spark, rows) == by_rows(rows)
+
+
+def test_very_long_document(spark):
+    rng = random.Random(12)
+    long = prose(rng, 300_000)
+    assert len(long) > 1 << 20
+    rows = [(1, long), (2, edit(rng, long, 0.001)), (3, prose(rng, 300_000)), (4, "x " * 500_000), (5, "x" * 3_000_000)]
+    assert by_operator(spark, rows) == by_rows(rows)
+
+
 def test_need_and_prefixes():
     for n in range(1, 40):
         for m in range(1, 40):
