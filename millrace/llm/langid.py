@@ -20,15 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm.common import doc_mod, prepare, slices, utf8
 
 ORDER = 4
 #: Occurrences that a context needs to enter the tree.
 LEAST = 3
-#: Bounds of the training sample, for each language: documents, characters of each, and bytes together.
+#: Bounds of the training sample, for each language: documents, and bytes of their whole texts together.
 SAMPLE_DOCS = 400
-SAMPLE_CHARS = 8192
 SAMPLE_BYTES = 400_000
 UNDETERMINED = "und"
 _PIECE = 1 << 19
@@ -195,24 +195,27 @@ def _label(shared, extra: list[str]):
 
 
 def train(spark: SparkSession, labelled: DataFrame) -> Model:
-    """Fit on ``labelled(doc_id, text, lang)``: at most ``SAMPLE_DOCS`` documents of each language.
+    """Fit on ``labelled(doc_id, text, lang)``: of each language whole documents, in the order of a hash of doc_id.
 
-    The documents with the least hashes of doc_id are taken, so a rerun takes the same ones. The
-    driver holds the sample, whose size is bounded by the three parameters and the number of languages.
+    They are taken while there are at most ``SAMPLE_DOCS`` with at most ``SAMPLE_BYTES`` together; documents
+    beyond that size by themselves are passed over. Rows that repeat a doc_id stand in the order of their texts, so
+    a rerun takes the same ones. The driver holds the sample, whose size these bounds and the number of languages limit.
     """
-    labelled = labelled.where("lang is not null and text is not null and doc_id is not null")
-    order = F.xxhash64("doc_id")
+    size = F.octet_length("text").cast("long")
+    labelled = labelled.where("lang is not null and text is not null and doc_id is not null").where(size <= SAMPLE_BYTES)
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model({})
+    order = F.xxhash64("doc_id")
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (1.25 * SAMPLE_DOCS + 50) / n))])
-    near = (F.pmod(order, F.lit(1 << 40)) / F.lit(float(1 << 40))) <= F.element_at(share, F.col("lang"))
-    rows = labelled.where(near).select("lang", order.alias("h"), "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    near = labelled.where((F.pmod(order, F.lit(1 << 40)) / F.lit(float(1 << 40))) <= F.element_at(share, F.col("lang")))
+    along = Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1 << 40)), "doc_id", F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.select("lang", "text", F.sum(size + 1).over(along).alias("bytes"), F.count("*").over(along).alias("n"))
+    rows = near.where((F.col("bytes") <= SAMPLE_BYTES + 1) & (F.col("n") <= SAMPLE_DOCS)).collect()
     texts: dict[str, list[bytes]] = {k: [] for k in counts}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
-        if len(texts[r["lang"]]) < SAMPLE_DOCS:
-            texts[r["lang"]].append(r["text"].encode())
-    return Model({k: b"\n".join(v)[:SAMPLE_BYTES] for k, v in texts.items()})
+    for r in sorted(rows, key=lambda r: (r["lang"], r["n"])):
+        texts[r["lang"]].append(r["text"].encode())
+    return Model({k: b"\n".join(v) for k, v in texts.items()})
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
@@ -234,7 +237,8 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 def languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for every row; learns only from rows not held out.
 
-    A row without doc_id is neither held out nor learned from.
+    A row without doc_id is neither held out nor learned from. Repeated rows are each predicted, and alike. Texts of
+    any length are coded whole, in pieces. Of languages with equal code lengths the first by name is taken.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(spark, docs.where(doc_mod(F.col("doc_id"), 3) != 1))
