@@ -240,8 +240,9 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
     Learns from ``labels(doc_id, quality)`` of rows not held out, quality being 0 or 1. Labels without a
-    document, null labels and documents without doc_id teach nothing. Null and empty texts get the
-    score of their (zero) features. With no labels at all every score is 0.5.
+    document, null labels and documents without doc_id teach nothing; a label or a document that is repeated teaches as
+    often as it stands there. Null and empty texts get the score of their (zero) features, repeated rows equal scores,
+    and long texts are read whole, in pieces. With no labels at all every score is 0.5.
     """
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

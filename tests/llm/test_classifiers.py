@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -60,7 +61,7 @@ def test_code_lengths_are_proper():
 
 
 def test_sample_and_memory_of_training(spark, monkeypatch):
-    """A language's sample is 400 000 bytes, and the arrays of training take less than they did for half of it."""
+    """A language's sample is whole texts of up to 400 000 bytes, and the arrays of training stay small."""
     import random
     import tracemalloc
 
@@ -71,7 +72,8 @@ def test_sample_and_memory_of_training(spark, monkeypatch):
         m.setattr(L, "Model", got.update)
         rows = [(i, prose(rng, 250), k) for k in ("a", "b") for i in range(450)]
         L.train(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert {k: len(v) for k, v in got.items()} == {"a": 400_000, "b": 400_000}
+    whole = {k: {t.encode() for _, t, x in rows if x == k} for k in got}
+    assert set(got) == {"a", "b"} and all(390_000 < len(v) <= 400_000 and set(v.split(b"\n")) <= whole[k] for k, v in got.items())
     texts = {f"{k}{i}": v for k, v in got.items() for i in range(2)}
     tracemalloc.start()
     L.Model(texts)
@@ -80,6 +82,61 @@ def test_sample_and_memory_of_training(spark, monkeypatch):
     assert peak < 60e6
 
 
+def test_texts_beyond_the_sample_are_passed_over(spark, monkeypatch):
+    got = {}
+    monkeypatch.setattr(L, "Model", got.update)
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 40)
+    rows = [(i, "x" * 60 if i % 2 else f"text {i}", "a") for i in range(30)] + [(50, "y" * 100, "b"), (51, "", "c"), (7, "text again", "a"), (7, None, "a")]
+    L.train(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(got) == {"a", "c"} and got["c"] == b"" and 30 < len(got["a"]) <= 40 and b"x" not in got["a"].replace(b"text", b"")
+
+
+def plain_bits(texts, text):
+    """Prediction by partial matching with dictionaries: one context after the other, bytes seen in longer ones left out."""
+    folded = {k: L.fold(np.frombuffer(v, np.uint8)).tobytes() for k, v in texts.items()}
+    known = set(b"".join(folded.values())) | {10}
+    text = b"\n" * L.ORDER + bytes(L.fold(np.frombuffer(text, np.uint8)))
+    out = []
+    for k in sorted(folded):
+        own, after = b"\n" * L.ORDER + folded[k], {}
+        for i in range(L.ORDER, len(own)):
+            for d in range(L.ORDER + 1):
+                after.setdefault(own[i - d : i], []).append(own[i])
+
+        def chance(context, byte, after=after):
+            seen = after.get(context, [])
+            shorter = (lambda b: chance(context[1:], b)) if context else (lambda b: 1 / max(256, len(known)))
+            if context and len(seen) < L.LEAST:
+                return shorter(byte)
+            n, distinct = len(seen), set(seen)
+            if byte in distinct:
+                return seen.count(byte) / (n + len(distinct))
+            left = 1 - sum(shorter(b) for b in distinct)
+            return len(distinct) / (n + len(distinct)) * shorter(byte) / left
+
+        out.append(-sum(math.log2(chance(text[i - L.ORDER : i], text[i])) for i in range(L.ORDER, len(text))))
+    return out
+
+
+def test_equals_plain_ppm():
+    texts = {"a": "Der Hund und die Katze, der Käse und das Brot. ".encode() * 2 + b"die Hunde", "b": "The dog and the cat, the cheese and the bread. ".encode() * 2}
+    m = L.Model(texts)
+    for text in ("die Katze", "the cheese ÄÖ", "x", "qqq the dog and a zebra 123", "\n\n"):
+        raw = text.encode()
+        got = m.bits(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        assert np.allclose(got, plain_bits(texts, raw), rtol=1e-4), text
+
+
+def test_long_and_repeated_texts(spark):
+    long = "der hund und die katze " * 60_000
+    rows = [(3, long), (3, long), (6, "the cat and the dog"), (6, "the cat and the dog"), (9, "x" * 2_000_000)]
+    model = L.Model({"de": b"der hund und die katze " * 20, "en": b"the dog and the cat " * 20, "en2": b"the dog and the cat " * 20})
+    out = L.identify(spark, documents(spark, rows), model).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in out if r.doc_id < 9) == [(3, "de"), (3, "de"), (6, "en"), (6, "en")] and len(out) == 5
+    scored = Q.quality_scores(spark, documents(spark, rows), spark.createDataFrame([(3, 1), (3, 1), (6, 0)], "doc_id long, quality int")).collect()
+    assert len(scored) == 5 and len({r.score for r in scored if r.doc_id == 3}) == 1
+
+
 def test_long_texts_in_pieces(monkeypatch):
     m = L.Model({"a": b"abracadabra " * 50, "b": b"banana bandana " * 50})
     text = (b"abra banana " * 500)[:5555]
@@ -127,6 +184,21 @@ def test_features():
     assert (Q.features(data, off)[0] == 0).all()
 
 
+def test_score_equals_plain_sum():
+    """Bin by bin and pair by pair, without numpy."""
+    rng = np.random.default_rng(4)
+    x = rng.random((500, len(Q.FEATURES)))
+    m = Q.Model(x, ((x[:, 1] > 0.6) | (x[:, 2] * x[:, 5] > 0.5)).astype(float))
+    got = m.score(x[:60])
+    for row, score in zip(x[:60].tolist(), got.tolist(), strict=True):
+        total = m.base
+        for j, v in enumerate(row):
+            total += m.tables[j][sum(e <= v for e in m.edges[j])]
+        for (i, j), t in m.pairs.items():
+            total += t[sum(e <= row[i] for e in m.coarse[i])][sum(e <= row[j] for e in m.coarse[j])]
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
 def test_model_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((4000, len(Q.FEATURES)))
