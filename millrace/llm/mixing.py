@@ -1,6 +1,7 @@
 """Mixing sources to target weights, in fixed-length blocks of words.
 
-The words of each source are packed into blocks of ``BLOCK`` words, document after document. The mix is a
+The words of each source are packed into blocks of one length, document after document: ``BLOCK`` words, fewer for
+small sources, so that a block is at most a ``FINE``-th of its source or one word. The mix is a
 row of slots, each taking one block, dealt over output shards. The slots of a shard fall to the sources
 by multinomial draws, conditioned on every source's total over all shards being its quota: totals are
 split in halves of the shards again and again, each split being a multivariate hypergeometric draw seeded by
@@ -10,7 +11,6 @@ pseudorandom permutation for the pass ``j // blocks`` to a block index, and bloc
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,13 +21,16 @@ from pyspark.sql.window import Window
 
 from millrace.llm.common import WORD, cut, mix, prepare
 
-BLOCK = 64
+#: Words in a block at most, and blocks that a source has at least, if it has as many words.
+BLOCK, FINE = 64, 256
 SHARD_SLOTS = 4096
 WEIGHTS = (5, 2, 1)
 #: Times that a source's words are taken at most.
 MOST = 3
 #: Documents in a stretch, the unit in which positions within a source are summed up.
 STRETCH = 4096
+#: Items from which on a split is not drawn by numpy's sampler, whose range ends there.
+LARGE = 10**9
 SEED = 20240517
 _U = np.uint64
 
@@ -37,6 +40,7 @@ class Source:
     name: str | None
     size: int
     target: float
+    block: int
     blocks: int
     slots: int
 
@@ -63,8 +67,9 @@ def _plan(totals: list[tuple[str | None, int]], weights: tuple[float, ...]) -> l
     target = targets([n for _, n in totals], [weights[i % len(weights)] for i in range(len(totals))])
     out = []
     for (name, size), t in zip(totals, target, strict=True):
-        blocks = -(-size // BLOCK)
-        out.append(Source(name, size, t, blocks, min(MOST * blocks, round(t * blocks / size)) if size else 0))
+        block = min(BLOCK, max(1, size // FINE))
+        blocks = -(-size // block)
+        out.append(Source(name, size, t, block, blocks, min(MOST * blocks, round(t * blocks / size)) if size else 0))
     return out
 
 
@@ -74,16 +79,17 @@ def _split(counts: np.ndarray, left: int, seed: tuple[int, ...]) -> np.ndarray:
     if left >= total:
         return counts.copy()
     rng = np.random.default_rng(seed)
-    if total < 10**9:
+    if total < LARGE:
         return rng.multivariate_hypergeometric(counts, left, method="marginals")
-    # beyond the sampler's range: one kind after the other, by the normal approximation
-    out, places, rest = np.zeros_like(counts), left, total
-    for i, c in enumerate(counts.tolist()):
-        mean = places * c / max(rest, 1)
-        sd = math.sqrt(max(0.0, mean * (1 - c / max(rest, 1)) * (rest - places) / max(rest - 1, 1)))
-        out[i] = min(c, places, max(0, places - (rest - c), round(rng.normal(mean, sd))))
-        places, rest = places - int(out[i]), rest - c
-    return out
+    # beyond the sampler's range: every item falls among the first places by itself, with the right mean; what is too
+    # many or too few then, some square root of the total, is taken back or added evenly. That is the same law, exactly.
+    out = rng.binomial(counts, left / total)
+    more = left - int(out.sum())
+    pool = counts - out if more > 0 else out
+    ends = np.cumsum(pool)
+    drawn = rng.choice(int(ends[-1]), abs(more), replace=False, shuffle=False)
+    moved = np.bincount(np.searchsorted(ends, drawn, "right"), minlength=len(counts))
+    return out + moved if more > 0 else out - moved
 
 
 def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -114,22 +120,24 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return y.astype(np.int64)
 
 
-def _deal(slots: list[int], blocks: list[int], shards: int, seed: int):
+def _deal(plan, shards: int, seed: int):
+    """``plan``: a broadcast array with the slots and the blocks of each source."""
+
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        quota = np.array(slots, np.int64)
+        quota, blocks = plan.value
         for frame in frames:
             for shard in frame["id"].tolist():
                 before, counts = shard_counts(quota, shards, shard, seed)
                 parts = []
                 for s in np.flatnonzero(counts).tolist():
                     j = np.arange(before[s], before[s] + counts[s])
-                    turn, place = np.divmod(j, blocks[s])
+                    turn, place = np.divmod(j, int(blocks[s]))
                     block = np.empty(len(j), np.int64)
                     for t in np.unique(turn).tolist():
                         own = turn == t
-                        block[own] = permute(place[own], blocks[s], int(mix(np.array([seed * 1_000_003 + s * 17 + t], _U))[0]))
+                        block[own] = permute(place[own], int(blocks[s]), int(mix(np.array([seed * 1_000_003 + s * 17 + t], _U))[0]))
                     parts.append(pd.DataFrame({"source_no": s, "block": block}))
                 if parts:
                     out = pd.concat(parts, ignore_index=True)
@@ -154,7 +162,8 @@ class Mix:
 def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> Mix:
     """Plan a mix of ``docs(doc_id, text, source)`` whose sources, by code point, null last, weigh ``weights`` in turn.
 
-    The driver holds one total for each source. Within a source documents lie in the order of a hash of
+    The driver holds one total for each source, and its plan goes to the workers as a broadcast of 16 bytes a source: a source
+    is something like a crawl or a collection, and hundreds of thousands of them are meant, not one for each document. Within a source documents lie in the order of a hash of
     doc_id, so that positions can be summed up by stretches of about ``STRETCH`` documents: a
     source with a third of all rows has as many stretches as a third of the rows needs.
     """
@@ -166,7 +175,7 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] =
     stretches = sum(r["n"] for r in totals) // STRETCH + 1
 
     table = spark.createDataFrame(
-        [(s.name, i, s.size, s.target) for i, s in enumerate(sources)], "name string, source_no int, source_size long, target double"
+        [(s.name, i, s.size, s.target, s.block) for i, s in enumerate(sources)], "name string, source_no int, source_size long, target double, block_size int"
     )
     numbered = base.join(F.broadcast(table) if len(sources) <= 100_000 else table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     numbered = numbered.withColumn("stretch", F.pmod(F.xxhash64("doc_id"), F.lit(stretches)))
@@ -177,11 +186,11 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] =
     extents = (
         numbered.withColumn("within", F.sum("size").over(order) - F.col("size"))
         .join(sums, ["source_no", "stretch"])
-        .select("doc_id", "source", "source_no", "size", "source_size", "target", (F.col("offset") + F.col("within")).alias("start"))
+        .select("doc_id", "source", "source_no", "size", "source_size", "target", "block_size", (F.col("offset") + F.col("within")).alias("start"))
     )
     total = sum(s.slots for s in sources)
     shards = -(-total // SHARD_SLOTS)
-    deal = _deal([s.slots for s in sources], [s.blocks for s in sources], shards, seed)
+    deal = _deal(spark.sparkContext.broadcast(np.array([[s.slots for s in sources], [s.blocks for s in sources]], np.int64)), shards, seed)
     ids = spark.range(0, max(shards, 1), 1, max(1, min(shards, spark.sparkContext.defaultParallelism * 4)))
     slots = (ids if shards else ids.limit(0)).mapInPandas(deal, "shard long, slot long, source_no int, block long")
     return Mix(sources, slots, extents)
@@ -191,14 +200,15 @@ def taken_words(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...]
     """``(doc_id, size, source_size, target, taken)`` for every row of ``docs``.
 
     ``taken`` counts the words of the document in the mix, repeats included; no block is taken more than
-    ``MOST`` times. Null and empty texts have size 0 and are not taken. Rows repeating a doc_id lie apart.
+    ``MOST`` times. Null and empty texts have size 0 and are not taken. Rows repeating a doc_id lie apart, and repeated rows
+    one after the other. A text of any length is counted whole, and spreads over as many blocks as it needs.
     """
     mixed = plan_mix(spark, docs, weights, seed)
     extents = cut(mixed.extents)
     counts = mixed.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     last = F.col("start") + F.col("size") - 1
-    pieces = extents.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.floor(last / BLOCK))))
-    words = F.least(last + 1, (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK)
+    pieces = extents.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr("start div block_size"), F.expr("(start + size - 1) div block_size"))))
+    words = F.least(last + 1, (F.col("block") + 1) * F.col("block_size")) - F.greatest("start", F.col("block") * F.col("block_size"))
     row = ["doc_id", "source_no", "start", "size", "source_size", "target"]
     # the planner knows nothing of how many rows the deal makes, so it must not broadcast them
     taken = pieces.withColumn("words", words).join(counts.hint("merge"), ["source_no", "block"], "left")
