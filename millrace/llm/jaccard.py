@@ -491,11 +491,15 @@ class Classes:
         return nodes.join(self.table.select("node", F.col("first").alias("doc_id")), "node").select("doc_id").distinct() if self.mixed else nodes.select(F.col("node").alias("doc_id"))
 
     def first_of(self, label: DataFrame) -> DataFrame:
-        """``label(node, component)`` with the smallest doc_id of each component as its name."""
+        """``label(node, component)`` with the smallest doc_id of each component as its name, and r0 and r1, the class that has it.
+
+        Where no doc_id has several sets the name says which class it is, and r0 and r1 are null.
+        """
         if not self.mixed:
-            return label
-        least = label.join(self.table.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
-        return label.join(least, "component").select("node", F.col("least").alias("component"))
+            none = F.lit(None).cast("long")
+            return label.select("node", "component", none.alias("r0"), none.alias("r1"))
+        least = label.join(self.table.select("node", "first", "k0", "k1"), "node").groupBy("component").agg(F.min(F.struct("first", "k0", "k1")).alias("least"))
+        return label.join(least, "component").select("node", F.col("least.first").alias("component"), F.col("least.k0").alias("r0"), F.col("least.k1").alias("r1"))
 
 
 def _wanted_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, classes: Classes, width: int) -> DataFrame:
@@ -635,10 +639,16 @@ def similarity_classes(spark: SparkSession, docs: DataFrame, width: int = WIDTH,
 def duplicate_groups(
     spark: SparkSession, docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY
 ) -> DataFrame:
-    """``near_duplicates`` without ``n_links``, which costs a pass of its own, but with k0 and k1, the fingerprint of the set."""
+    """``(doc_id, n_shingles, k0, k1, component_id, keeper)``: groups without their links, which cost a pass of their own.
+
+    k0 and k1 are the fingerprint of the set. Rows with ``keeper`` are those of the first class of a group under its
+    smallest doc_id: several only if rows repeat both. Rows with empty sets are groups of their own.
+    """
     found = similarity_classes(spark, docs, width, similarity)
-    label = found.classes.first_of(found.label)
-    return found.members.join(label, "node", "left").select("doc_id", "n_shingles", "k0", "k1", F.coalesce("component", "first", "doc_id").alias("component_id"))
+    out = found.members.join(found.classes.first_of(found.label), "node", "left").withColumn("component_id", F.coalesce("component", "first", "doc_id"))
+    own_class = F.coalesce((F.col("k0") == F.col("r0")) & (F.col("k1") == F.col("r1")), F.lit(True))
+    keeper = (F.col("doc_id") == F.col("component_id")) & own_class
+    return out.select("doc_id", "n_shingles", "k0", "k1", "component_id", F.coalesce(keeper, F.lit(True)).alias("keeper"))
 
 
 def near_duplicates(

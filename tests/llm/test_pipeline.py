@@ -67,3 +67,22 @@ def test_line_dedup_updates_lengths(spark):
 
 def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, write(spark, tmp_path, [])).count() == 0
+
+
+def test_repeated_doc_ids(spark):
+    """Each text is judged by its own group, in whatever order the rows come, and equal rows stay once."""
+    import random
+
+    rng = random.Random(4)
+    a, b, c = (prose(rng, n) for n in (80, 90, 70))
+    rows = [(5, a), (5, b), (7, b + " more"), (9, "more " + a), (5, a + " end"), (8, c), (8, c), (8, c.replace(" ", "  ")), (6, b + " b"), (6, c + " c"), (None, a), (None, a)]
+    results = set()
+    for order in (range(12), reversed(range(12)), [3, 5, 0, 6, 2, 4, 1, 11, 7, 9, 10, 8]):
+        docs = documents(spark, [rows[i] for i in order]).drop("lang", "source")
+        out = corpus_pipeline.near_duplicate_removal(spark, docs, "").collect()
+        results.add(tuple(sorted(((r.doc_id, r.text) for r in out), key=str)))
+    (got,) = results
+    ids = [d for d, _ in got]
+    assert sorted(ids, key=str) == [5, 5, 6, None, None]
+    texts = {t for d, t in got if d == 5}
+    assert len(texts) == 2 and b in texts and texts & {a, a + " end"} and (6, c + " c") in got
