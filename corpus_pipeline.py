@@ -9,9 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm import boilerplate, bpe, jaccard, langid, mixing
-from millrace.llm.common import doc_mod, prepare
+from millrace.llm.common import cut, doc_mod, prepare
 
 #: What SQL cannot express: trained trees, seeded draws, and byte-pair merges.
 ORACLE_SQL = None
@@ -34,14 +35,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays, once."""
-    found = jaccard.duplicate_groups(spark, docs)
-    keep = found.where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id").distinct()
-    keep = keep.withColumnRenamed("doc_id", "__id")
-    # rows without doc_id cannot be told apart, so all of them stay
-    kept = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__id"), "left_semi")
-    if kept.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the document with the smallest doc_id stays, once.
+
+    Rows without doc_id cannot be told apart, so all of them stay. Rows that repeat a doc_id with another text are
+    documents of their own: each is judged by the group of its text. Of rows with one doc_id and one set of
+    shingles the first by a hash of all columns stays.
+    """
+    found = cut(jaccard.duplicate_groups(spark, docs).where("doc_id is not null"))
+    first = found.where("keeper").select(F.col("doc_id").alias("__id"), F.col("k0").alias("__c0"), F.col("k1").alias("__c1")).distinct()
+    kept = docs.join(first.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    repeated = cut(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")))
+    if repeated.limit(1).count():
+        several = jaccard.with_class(kept.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi"))
+        # a doc_id that stays with one text may have others, in other groups
+        several = several.join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__k0") == F.col("__c0")) & (F.col("__k1") == F.col("__c1")), "left_semi")
+        same = Window.partitionBy("doc_id", "__k0", "__k1").orderBy(F.xxhash64(*docs.columns), *docs.columns)
+        several = several.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*docs.columns)
+        kept = kept.join(repeated, F.col("doc_id") == F.col("__id"), "left_anti").union(several)
     return kept.union(docs.where("doc_id is null")).select(*docs.columns)
 
 
