@@ -5,15 +5,16 @@ ancillary data, after the side information. Each frame has its checksum, an ID3v
 payload's length, and a first frame carries the table for variable bit rates (frame and byte
 counts and 100 seek points): the last frame takes the lowest bit rate that fits.
 
-The reader takes streams in general: it steps over tags, finds the first header that another header or the end follows,
-resynchronises after damage, verifies checksums where headers announce them, reads
-the table, and reports exact durations (samples over rate) and each frame's offset.
+The reader takes streams in general: MPEG 1, 2 and 2.5, layers I to III, with ID3 tags of all versions before or after.
+It finds the first header that another header or the end follows, resynchronises after damage, measures frames of free
+format by the next header, verifies the checksums that headers announce (header, side information, bit allocation and
+scale factor selection, by layer), reads the tables of variable bit rates (Xing, Info and VBRI), and reports exact durations
+(samples over rate) and each frame's offset.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
@@ -21,10 +22,13 @@ from fractions import Fraction
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import prepare, utf8
 
 UNIT = 64
+#: Bytes of streams or payloads that a worker sends on together.
+SENT = 8 << 20
 # Fixed values of the MPEG audio format: kbit/s by (MPEG 1?, layer), Hz by version.
 BITRATES = {
     (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -51,8 +55,19 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """``crc16`` of the first so many bits."""
+    c = crc16(data[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        top = (c >> 15) ^ (data[k // 8] >> (7 - k % 8) & 1)
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
+
+
 @dataclass(frozen=True)
 class Header:
+    """A frame header; ``length`` is 0 in free format, where only the next header tells it."""
+
     version: int
     layer: int
     guarded: bool
@@ -61,6 +76,9 @@ class Header:
     length: int
     samples: int
     side: int
+    padding: int
+    mode: int
+    extension: int
 
 
 def header(b: bytes) -> Header | None:
@@ -69,16 +87,56 @@ def header(b: bytes) -> Header | None:
         return None
     version, layer = b[1] >> 3 & 3, 4 - (b[1] >> 1 & 3)
     index, at = b[2] >> 4, b[2] >> 2 & 3
-    if version == 1 or layer == 4 or index in (0, 15) or at == 3:
+    if version == 1 or layer == 4 or index == 15 or at == 3:
         return None
-    first, rate = version == 3, RATES[version][at]
+    first, rate, mode = version == 3, RATES[version][at], b[3] >> 6
     bitrate, padding = BITRATES[first, layer][index], b[2] >> 1 & 1
     if layer == 1:
-        return Header(version, 1, not b[1] & 1, bitrate, rate, (12000 * bitrate // rate + padding) * 4, 384, 0)
-    samples = 1152 if first or layer == 2 else 576
-    mono = b[3] >> 6 == 3
-    side = 0 if layer == 2 else (17 if mono else 32) if first else (9 if mono else 17)
-    return Header(version, layer, not b[1] & 1, bitrate, rate, samples * 125 * bitrate // rate + padding, samples, side)
+        samples, side, length = 384, 0, (12000 * bitrate // rate + padding) * 4
+        padding *= 4
+    else:
+        samples = 1152 if first or layer == 2 else 576
+        side = 0 if layer == 2 else (17 if mode == 3 else 32) if first else (9 if mode == 3 else 17)
+        length = samples * 125 * bitrate // rate + padding
+    return Header(version, layer, not b[1] & 1, bitrate, rate, length if bitrate else 0, samples, side, padding, mode, b[3] >> 4 & 3)
+
+
+# Fixed values of layer II: bits of the allocation of each subband, as (subbands, bits) in order, by table.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _guarded_bits(h: Header, body: bytes) -> int:
+    """Bits after the checksum that it covers."""
+    if h.layer == 3:
+        return 8 * h.side
+    bound = 4 * (h.extension + 1) if h.mode == 1 else 32
+    channels = 1 if h.mode == 3 else 2
+    if h.layer == 1:
+        return 4 * (min(bound, 32) * channels + max(0, 32 - bound))
+    each = h.bitrate // channels
+    if h.version != 3:
+        name = "low"
+    elif h.bitrate and each < 56:
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "a" if h.rate == 48000 or h.bitrate and each <= 80 else "b"
+    widths = [w for n, w in ALLOCATION[name] for _ in range(n)]
+    number = int.from_bytes(body, "big")
+    at = used = 0
+    for k, w in enumerate(widths):
+        for c in range(channels if k < bound else 1):
+            at += w
+            if at > 8 * len(body):
+                return 8 * len(body)
+            if number >> (8 * len(body) - at) & ((1 << w) - 1):
+                used += 2 * (1 if k < bound or c else channels)
+    return min(at + used, 8 * len(body))
 
 
 def _syncsafe(n: int) -> bytes:
@@ -128,7 +186,7 @@ def write(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What a stream holds. ``offsets``: where each audio frame begins, for seeking."""
+    """What a stream holds. ``offsets``: where each audio frame begins, for seeking; ``seek``: the points of the stream's own table, in bytes or 256ths."""
 
     tags: dict[str, str] = field(default_factory=dict)
     frames: int = 0
@@ -138,74 +196,149 @@ class Stream:
     skipped_bytes: int = 0
     bitrates: dict[int, int] = field(default_factory=dict)
     table: dict[str, int] = field(default_factory=dict)
-    toc: bytes = b""
+    seek: list[int] = field(default_factory=list)
     ancillary: bytes = b""
 
 
-def _tags(data: bytes, to: dict[str, str]) -> int:
-    """Read an ID3v2 tag into ``to``; where the stream goes on."""
-    if data[:3] != b"ID3" or len(data) < 10:
-        return 0
-    end = min(len(data), 10 + sum((b & 127) << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True)))
-    at = 10
-    while at + 10 <= end and data[at : at + 4].isalnum():
-        raw = data[at + 4 : at + 8]
-        size = sum((b & 127) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True)) if data[3] == 4 else int.from_bytes(raw, "big")
-        body = data[at + 10 : min(end, at + 10 + size)]
-        if body[:1] in (b"\x00", b"\x03"):
-            key, _, value = body[1:].partition(b"\x00") if data[at : at + 4] == b"TXXX" else (data[at : at + 4], b"", body[1:])
-            to[key.decode("latin-1")] = value.rstrip(b"\x00").decode("utf-8" if body[:1] == b"\x03" else "latin-1", "replace")
-        at += 10 + size
+_ENCODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+
+
+def _syncsafe_of(b: bytes) -> int:
+    return sum((x & 127) << s for x, s in zip(b, (21, 14, 7, 0), strict=False))
+
+
+def _strings(body: bytes) -> list[str]:
+    """The strings of a text frame, which zeros part."""
+    kind = _ENCODINGS.get(body[0]) if body else None
+    if kind is None:
+        return []
+    raw, bom = body[1:], body[1:3]
+    if kind == "utf-16" and bom not in (b"\xff\xfe", b"\xfe\xff"):
+        kind = "utf-16-be"
+    text = raw.decode("utf-16-be" if kind == "utf-16" and bom == b"\xfe\xff" else "utf-16-le" if kind == "utf-16" else kind, "replace")
+    return [t.lstrip("\ufeff") for t in text.rstrip("\x00").split("\x00")]
+
+
+def _tags(data: bytes, at: int, to: dict[str, str]) -> int:
+    """Read an ID3v2 tag at ``at`` into ``to``; where the stream goes on."""
+    if data[at : at + 3] != b"ID3" or len(data) < at + 10:
+        return at
+    version, flags, size = data[at + 3], data[at + 5], _syncsafe_of(data[at + 6 : at + 10])
+    end = min(len(data), at + 10 + size)
+    body = data[at + 10 : end]
+    end = min(len(data), end + 10 * (version == 4 and flags >> 4 & 1))
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    p = 0
+    if flags & 0x40 and version == 3:
+        p = 4 + int.from_bytes(body[:4], "big")
+    elif flags & 0x40 and version == 4:
+        p = max(6, _syncsafe_of(body[:4]))
+    name_size, head = (3, 6) if version == 2 else (4, 10)
+    while p + head <= len(body) and body[p : p + name_size].isalnum():
+        name = body[p : p + name_size].decode("ascii")
+        raw = body[p + name_size : p + 2 * name_size]
+        long = _syncsafe_of(raw) if version == 4 else int.from_bytes(raw, "big")
+        content = body[p + head : p + head + long]
+        if version == 4 and (flags & 0x80 or body[p + 9] & 2):
+            content = content.replace(b"\xff\x00", b"\xff")
+        if version == 4 and body[p + 9] & 1:
+            content = content[4:]
+        if name.startswith("T") and (strings := _strings(content)):
+            if name in ("TXXX", "TXX"):
+                to[strings[0]] = "\x00".join(strings[1:])
+            else:
+                to[name] = "\x00".join(strings)
+        p += head + long
     return end
 
 
+def _free_length(data: bytes, at: int, end: int, h: Header) -> int:
+    """The length of a frame of free format: up to the next header that agrees but in padding; 0 if there is none."""
+    nxt = data.find(data[at : at + 2], at + 4 + h.side, min(end, at + 8192))
+    while nxt >= 0:
+        if nxt + 4 <= end and data[nxt + 2] & 0xFD == data[at + 2] & 0xFD and data[nxt + 3] >> 6 == h.mode:
+            return nxt - at
+        nxt = data.find(data[at : at + 2], nxt + 1, min(end, at + 8192))
+    return 0
+
+
+def _vbr_table(data: bytes, at: int, h: Header, out: Stream) -> bool:
+    """Read the table of variable bit rates in the frame at ``at``, if it is one."""
+    content = at + 4 + 2 * h.guarded + h.side
+    if data[content : content + 4] in (b"Xing", b"Info"):
+        flags, p = int.from_bytes(data[content + 4 : content + 8], "big"), content + 8
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                out.table[name] = int.from_bytes(data[p : p + 4], "big")
+                p += 4
+        if flags & 4:
+            out.seek = list(data[p : p + 100])
+        return True
+    content = at + 36
+    if data[content : content + 4] == b"VBRI":
+        word = lambda k, n: int.from_bytes(data[content + k : content + k + n], "big")
+        out.table |= {"bytes": word(10, 4), "frames": word(14, 4)}
+        entries, scale, wide = word(18, 2), word(20, 2), word(22, 2)
+        if wide in (1, 2, 4) and content + 26 + entries * wide <= at + h.length:
+            out.seek = np.cumsum([word(26 + k * wide, wide) * scale for k in range(entries)], dtype=np.int64).tolist()
+        return True
+    return False
+
+
 def read(data: bytes) -> Stream:
     """Parse a stream; damage is skipped and counted, nothing raises."""
     out, parts = Stream(), []
-    at = _tags(data, out.tags)
+    at = _tags(data, 0, out.tags)
     end = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
     if end < len(data):
         out.tags["ID3v1.title"] = data[-125:-95].rstrip(b"\x00 ").decode("latin-1")
     headers: dict[bytes, Header | None] = {}
     sums: dict[bytes, int] = {}
-    synced, first = False, True
+    durations: dict[int, int] = {}
+    synced, first, free = False, True, 0
     while at < end:
+        if data[at : at + 3] == b"ID3" and (after := _tags(data, at, out.tags)) > at:
+            at = after
+            continue
         word = data[at : at + 4]
         h = headers[word] if word in headers else headers.setdefault(word, header(word))
-        if h is None or at + h.length > end or not synced and at + h.length < end and header(data[at + h.length : at + h.length + 4]) is None:
+        length = h.length if h else 0
+        if h and not length:  # free format: all frames have one length, but for padding
+            length = free + h.padding if free and at + free + h.padding <= end else _free_length(data, at, end, h)
+            if length and not free:
+                free = length - h.padding
+        if h is None or length < 4 + 2 * h.guarded + h.side or at + length > end or not synced and at + length < end and header(data[at + length : at + length + 4]) is None and data[at + length : at + length + 3] != b"ID3":
             synced = False
             nxt = data.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
+            tag = data.find(b"ID3", at + 1, nxt if nxt >= 0 else end)
+            nxt = tag if tag >= 0 else end if nxt < 0 else nxt
             out.skipped_bytes += nxt - at
             at = nxt
             continue
         synced = True
         body = at + 4 + 2 * h.guarded
-        if h.guarded and h.layer == 3:
-            known = data[at + 2 : at + 4] + data[body : body + h.side]
+        if h.guarded:
+            covered = data[body : min(at + length, body + (h.side if h.layer == 3 else 64))]
+            known = data[at + 2 : at + 4] + covered
             if known not in sums:
-                sums[known] = crc16(known)
+                if len(sums) > 10_000:
+                    sums.clear()
+                sums[known] = crc16_bits(known, 16 + _guarded_bits(h, covered))
             out.bad_checksums += sums[known] != int.from_bytes(data[at + 4 : at + 6], "big")
-        content = body + h.side
-        if first and data[content : content + 4] in (b"Xing", b"Info"):
-            flags, p = int.from_bytes(data[content + 4 : content + 8], "big"), content + 8
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    out.table[name] = int.from_bytes(data[p : p + 4], "big")
-                    p += 4
-            if flags & 4:
-                out.toc = data[p : p + 100]
-        else:
+        if not (first and h.layer == 3 and _vbr_table(data, at, h, out)):
             out.offsets.append(at)
             out.bitrates[h.bitrate] = out.bitrates.get(h.bitrate, 0) + 1
-            out.duration += Fraction(h.samples, h.rate)
-            parts.append(data[content : at + h.length])
+            durations[h.rate] = durations.get(h.rate, 0) + h.samples
+            parts.append(data[body + h.side : at + length])
         first = False
-        at += h.length
+        at += length
     out.frames = len(out.offsets)
+    out.duration = sum((Fraction(n, rate) for rate, n in durations.items()), Fraction(0))
     out.ancillary = b"".join(parts)
-    if out.tags.get("payload_bytes", "").isdigit():
-        out.ancillary = out.ancillary[: int(out.tags["payload_bytes"])]
+    size = out.tags.get("payload_bytes", "")
+    if size.isascii() and size.isdigit() and len(size) < 19:
+        out.ancillary = out.ancillary[: int(size)]
     return out
 
 
@@ -221,46 +354,86 @@ def feature(s: Stream) -> str:
     return f"frames={s.frames};seconds={s.duration};kbps={rate};bad_crc={s.bad_checksums};skipped={s.skipped_bytes};table={agrees};seek={offsets}"
 
 
-def _columns(batches: Iterator) -> Iterator:
+def _store(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_seconds"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
     for batch in batches:
         data, off, _ = utf8(batch.column("text"))
-        rows = []
+        n_bytes, media, size = [], [], 0
         for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-            media = write(pad(data[a:b].tobytes()))
-            s = read(media)
-            got = s.ancillary
-            rows.append((b - a, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), float(s.duration)))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-        yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *names])
+            n_bytes.append(b - a)
+            media.append(write(pad(data[a:b].tobytes())))
+            size += len(media[-1])
+            if size > SENT or len(n_bytes) == batch.num_rows:
+                done = batch.column("doc_id").slice(0, len(n_bytes))
+                yield pa.record_batch([done, pa.array(n_bytes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                batch, n_bytes, media, size = batch.slice(len(n_bytes)), [], [], 0
 
 
-def _store(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def store(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, media)``: the bytes of each text, and the text as an MPEG audio stream; null texts count as empty.
 
-    for batch in batches:
-        data, off, _ = utf8(batch.column("text"))
-        media = pa.array([write(pad(data[a:b].tobytes())) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())
-        yield pa.record_batch([batch.column("doc_id"), media], names=["doc_id", "media"])
+    Texts of any length are stored whole; repeated rows are stored each, and alike.
+    """
+    prepare(spark)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-def store(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``(doc_id, media)``: each text as an MPEG audio stream."""
+_DESCRIBED = "payload binary, frames long, frame_offsets array<long>, duration_numerator long, duration_denominator long, tags map<string,string>, table_frames long, table_bytes long, bad_checksums long, skipped_bytes long, feature string"
+
+
+def _describe(keep: list[str]):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = [
+            pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(),
+        ]
+        names = [x.split(" ")[0] for x in _DESCRIBED.split(", ")]
+        for batch in batches:
+            held, size, done = [], 0, 0
+            for n, media in enumerate(batch.column("media")):
+                s = read(media.as_py() or b"")
+                held.append((s.ancillary, s.frames, s.offsets, s.duration.numerator, s.duration.denominator, list(s.tags.items()), s.table.get("frames"), s.table.get("bytes"), s.bad_checksums, s.skipped_bytes, feature(s)))
+                size += 2 * len(s.ancillary)
+                if size > SENT or n + 1 == batch.num_rows:
+                    cols = [pa.array(list(c), k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)]
+                    yield pa.record_batch([*(batch.column(c).slice(done, len(held)) for c in keep), *cols], names=[*keep, *names])
+                    held, size, done = [], 0, n + 1
+
+    return run
+
+
+def describe(spark: SparkSession, media: DataFrame) -> DataFrame:
+    """``media`` with what each stream in its column ``media`` holds.
+
+    ``payload`` is the frames' content after the side information; ``frame_offsets`` says where each audio frame
+    begins, for seeking; the duration is exact, as a fraction of seconds. Null streams count as empty.
+    Columns with names of the result are replaced.
+    """
     prepare(spark)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_store, "doc_id long, media binary")
+    fields = T._parse_datatype_string(_DESCRIBED).fields
+    keep = [f for f in media.schema.fields if f.name not in {x.name for x in fields}]
+    return media.select(*(f.name for f in keep)).mapInArrow(_describe([f.name for f in keep]), T.StructType([*keep, *fields]))
 
 
 def media_columns(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Each text stored as a stream, read back and described; one row per row of ``docs``.
+    """Each text stored as a stream, read back and described in digests; one row per row of ``docs``.
 
-    Null texts count as empty, and an empty text has a payload of 64 zero bytes.
+    Null texts count as empty, and an empty text has a payload of 64 zero bytes. Equal texts have equal values.
     """
-    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(
-        _columns,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_seconds double",
+    read_back = describe(spark, store(spark, docs))
+    return read_back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -UNIT, UNIT)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        "duration_numerator",
+        "duration_denominator",
+        "frame_offsets",
     )
