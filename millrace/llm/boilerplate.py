@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, key128
 
 RATIO = 0.1
-MIN_PAGES = 5
+#: A line on a single page repeats nothing, whatever its ratio.
+MIN_PAGES = 2
 #: Size up to which the table of boilerplate lines is broadcast; beyond it, an ordinary join takes over.
 BROADCAST_BYTES = 8 << 20
 BLANK = "\t\n\x0b\x0c\r "

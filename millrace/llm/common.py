@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch: long documents must not add up to more than a worker holds.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: long documents must not add up to more than a worker holds.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 _U = np.uint64
 _shipped: set[str] = set()
@@ -25,13 +25,19 @@ _shipped: set[str] = set()
 def prepare(spark: SparkSession) -> None:
     """Make the workers able to import this package, bound Arrow batches, and name the checkpoint folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset, as in tests,
-    a folder of our own is named.
+    The folder is the cluster's ``spark.checkpoint.dir``. Only where driver and executors are one process, as in
+    tests, may it be unset, and a folder of our own is named. The bounds of Arrow batches are lowered for the session
+    if they are higher, never raised.
     """
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     if sc.applicationId in _shipped:
         return
