@@ -4,15 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from the cluster's checkpoint folder, so that an iteration's plan stays short.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session that driver and executors share: the checkpoint folder, or ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset, as in tests, one of our own is named.
+    Only where both are one process, as in tests, may none be named; then it is a temporary one.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    sc = spark.sparkContext
+    set_ = sc._jsc.sc().getCheckpointDir()
+    if set_.isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows read back from the shared folder, so that an iteration's plan stays short."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import cents
+from millrace.functions.lineage import shared_folder
 from millrace.plans.catalogue import query
 from millrace.plans.q_history import PARENTS, _sql, _union, engagement
 from millrace.sources.tables import table
@@ -17,8 +17,7 @@ from millrace.streaming.live import LiveReplay, live_throttle
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-live-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
