@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+_done: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,4 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read back from the shared folder, so that an iteration's plan stays short."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _done.add(out)
+    return out
+
+
+def cut_once(df: DataFrame) -> DataFrame:
+    """``cut``, unless the frame is one that it gave."""
+    return df if df in _done else cut(df)
+
+
+def cut_counted(df: DataFrame, test: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows (that pass the test), which is observed while they are written: one job."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(F.lit(True) if test is None else test).alias("n")))
+    return out, seen.get["n"]

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -57,28 +58,113 @@ def debounce(events: DataFrame, keys: Sequence[str], order: Sequence[str], ts: s
     return events.withColumn("__out", F.coalesce(test, F.lit(flush_last))).where("__out").drop("__out")
 
 
+def _segments(batch, keys: Sequence[str], last: tuple | None):
+    """Where keys change in an Arrow batch sorted by them: bounds, the keys there, and whether the first goes on from ``last``."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    new = np.zeros(n, bool)
+    for k in keys:
+        c = batch.column(k)
+        a, b = c.slice(1), c.slice(0, n - 1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= differ.to_numpy(zero_copy_only=False)
+    new[0] = True
+    start = np.flatnonzero(new)
+    names = [tuple(batch.column(k)[int(i)].as_py() for k in keys) for i in start]
+    return start.tolist(), [*start.tolist()[1:], n], names, last is not None and names[0] == last
+
+
+def _walk_throttle(keys: Sequence[str], interval: int, out: Sequence[str]):
+    """Rows sorted by key and order stream past; all that is kept is the time of the present key's last emission."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, keep = batch.column("__t").to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
+            start, stop, names, same = _segments(batch, keys, key)
+            for k, (a, b) in enumerate(zip(start, stop, strict=True)):
+                if k or not same:
+                    last = None
+                part = t[a:b]
+                if (part[1:] >= part[:-1]).all():  # in the order of time: leap from emission to emission
+                    i = 0 if last is None else int(np.searchsorted(part, last + interval))
+                    while i < len(part):
+                        keep[a + i], last = True, int(part[i])
+                        i = max(i + 1, int(np.searchsorted(part, last + interval)))
+                else:
+                    for i, x in enumerate(part.tolist(), a):
+                        if last is None or x - last >= interval:
+                            keep[i], last = True, x
+            key = names[-1]
+            yield batch.select(list(out)).filter(pa.array(keep))
+
+    return run
+
+
+def _walk_buffers(keys: Sequence[str], limit: int, size: int, out: Sequence[str]):
+    """Rows stream past; those of the present key's open buffer, fewer than ``size``, are held back until it is flushed."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, held, number = None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            start, stop, names, same = _segments(batch, keys, key)
+            rows, marks = [], []
+            for k, (a, b) in enumerate(zip(start, stop, strict=True)):
+                part = batch.slice(a, b - a)
+                if k or not same:
+                    number = 0
+                elif held:
+                    part = pa.concat_batches([*held, part])
+                held = []
+                t = part.column("__t").to_numpy(zero_copy_only=False)
+                ordered, at = bool((t[1:] >= t[:-1]).all()), 0
+                while at < len(t):
+                    late = int(np.searchsorted(t, t[at] + limit)) if ordered else at + int(np.argmax(np.append(t[at:] - t[at] >= limit, True)))
+                    end = min(at + size - 1, max(late, at))
+                    if end >= len(t):
+                        break
+                    rows.append(part.slice(at, end + 1 - at))
+                    marks.append((number, end + 1 - at))
+                    number, at = number + 1, end + 1
+                if at < len(t):
+                    held = [part.slice(at)]
+            key = names[-1]
+            if rows:
+                done = pa.concat_batches([r.select(list(out)) for r in rows])
+                mark = pa.array(np.repeat([m for m, _ in marks], [n for _, n in marks]).astype(np.int64))
+                yield pa.record_batch([*done.columns, mark], names=[*out, "batch"])
+
+    return run
+
+
+def _in_order(events: DataFrame, by: Sequence[str], order: Sequence[str], ts: str) -> DataFrame:
+    """Events with a time, in partitions by key, sorted: one exchange and one sort that spills, no list of a key's events."""
+    slim = events.select(*by, *order, _micros(F.col(ts)).alias("__t")).where("__t is not null")
+    return (slim.repartition(*[F.col(c) for c in by]) if by else slim.coalesce(1)).sortWithinPartitions(*by, *order)
+
+
 def throttle(events: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, interval_seconds: float, bucket: str | None = None) -> DataFrame:
-    """Greedy rate limit: an event passes if the interval has gone by since the last that passed.
+    """Greedy rate limit: an event passes if the interval has gone by since the last that passed. Events without a time do not.
 
-    Each emission depends on the one before, so a key's events are folded in order: rows of one key stream
-    through ``applyInPandas`` in bounded memory only if a key's log is; give ``bucket``, a column that restarts
-    the limit, to split keys beyond that.
+    Each emission depends on the one before, so a key's events are walked in order, in one task; a worker holds a
+    batch of them, however many there are. ``bucket``, a column that restarts the limit, splits hot keys.
     """
-    interval = int(interval_seconds * 1_000_000)
     by = [*keys, *([bucket] if bucket else [])]
-    slim = events.select(*by, *order, _micros(F.col(ts)).alias("__t"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<int>").alias("out"))
-    rows = slim.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "__t"))).alias("rows"))
-    walk = F.aggregate(
-        F.transform("rows", lambda r, i: F.struct(r["__t"].alias("t"), i.alias("i"))),
-        start,
-        lambda acc, x: F.when(
-            acc["last"].isNull() | (x["t"] - acc["last"] >= interval), F.struct(x["t"].alias("last"), F.array_append(acc["out"], x["i"]).alias("out"))
-        ).otherwise(acc),
-        lambda acc: acc["out"],
-    )
-    kept = rows.select(*by, F.col("rows"), F.explode(walk).alias("i")).select(*by, F.expr("rows[i]").alias("r"))
-    return kept.select(*by, *[F.col(f"r.{o}").alias(o) for o in order])
+    rows = _in_order(events, by, order, ts)
+    out = list(dict.fromkeys([*by, *order]))
+    return rows.mapInArrow(_walk_throttle(by, int(interval_seconds * 1_000_000), out), T.StructType([rows.schema[c] for c in out]))
 
 
 def buffer_batches(events: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, keep_tail: bool = False) -> DataFrame:
@@ -92,22 +178,14 @@ def buffer_batches(events: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def buffer_time(events: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, seconds: float, size: int) -> DataFrame:
-    """Like ``buffer_batches``, but an arrival also flushes once ``seconds`` have passed since the buffer's first event."""
-    limit = int(seconds * 1_000_000)
-    rows = events.select(*keys, *order, _micros(F.col(ts)).alias("__t")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "__t"))).alias("rows"))
-    state = F.struct(F.lit(None).cast("long").alias("first"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("batch"), F.array().cast("array<long>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        first, n = F.coalesce(acc["first"], x["__t"]), acc["n"] + 1
-        out = F.array_append(acc["out"], acc["batch"])
-        flush = (n >= size) | (x["__t"] - first >= limit)
-        return F.when(flush, F.struct(F.lit(None).cast("long").alias("first"), F.lit(0).alias("n"), (acc["batch"] + 1).alias("batch"), out.alias("out"))).otherwise(
-            F.struct(first.alias("first"), n.alias("n"), acc["batch"].alias("batch"), out.alias("out"))
-        )
-
-    walked = rows.withColumn("s", F.aggregate("rows", state, step))
-    flat = walked.select(*keys, F.col("s.batch").alias("__open"), F.explode(F.arrays_zip(F.col("rows"), F.col("s.out").alias("batch"))).alias("r"))
-    return flat.select(*keys, *[F.col(f"r.rows.{o}").alias(o) for o in order], F.col("r.batch").alias("batch"), "__open").where("batch < __open").drop("__open")
+    """Like ``buffer_batches``, but an arrival also flushes once ``seconds`` have passed since the buffer's first event.
+
+    Walked like ``throttle``; a worker holds a batch of rows and one open buffer.
+    """
+    rows = _in_order(events, keys, order, ts)
+    out = list(dict.fromkeys([*keys, *order]))
+    schema = T.StructType([*(rows.schema[c] for c in out), T.StructField("batch", T.LongType())])
+    return rows.mapInArrow(_walk_buffers(list(keys), int(seconds * 1_000_000), size, out), schema)
 
 
 def last_per_node(batches: DataFrame, keys: Sequence[str], node: str, value: str, order: Sequence[str]) -> DataFrame:

@@ -136,6 +136,22 @@ def weighted(sources: Sequence[str], weights: Sequence[float]) -> Builder:
     return build
 
 
+_AGGREGATES: dict[str, Callable[[Sequence[str]], Builder]] = {"sum": total, "average": mean, "min": smallest, "max": largest, "count": count_known, "product": product}
+
+
+def aggregate(op: str, sources: Sequence[str], fn: Callable[[list[Column]], Column] | None = None, weights: Sequence[float] | None = None) -> Builder:
+    """An aggregate across sources by its name; "custom" takes a function, "weighted" takes weights."""
+    if not sources:
+        raise ValueError("an aggregate needs a source at least")
+    if op == "custom" and fn is not None:
+        return combine(sources, fn)
+    if op == "weighted" and weights is not None:
+        return weighted(sources, weights)
+    if op not in _AGGREGATES:
+        raise ValueError(f"unknown aggregate {op}, or nothing given for it")
+    return _AGGREGATES[op](sources)
+
+
 # --- conditionals ----------------------------------------------------------------------------------
 
 

@@ -36,4 +36,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["history_propagate"](spark, sf_dir)
 
 
-from millrace.plans import q_federation, q_graphs, q_history, q_live, q_stores, q_streams, q_values  # noqa: E402, F401  (they register their queries)
+from millrace.plans import q_apps, q_engine, q_federation, q_graphs, q_history, q_live, q_stores, q_streams, q_values  # noqa: E402, F401  (they register their queries)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import contextlib
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -58,6 +58,24 @@ class TransactionError(RuntimeError):
     """A transaction was used out of turn."""
 
 
+class Checkpoint:
+    """The tables, fingerprints and generations that a workbench had; they can be put back any number of times, until discarded."""
+
+    def __init__(self, bench: Workbench) -> None:
+        self._bench = bench
+        self._held: tuple[dict[str, Memo], dict[str, int]] | None = bench._held()
+
+    def restore(self) -> None:
+        if self._held is None:
+            raise RuntimeError("the checkpoint was discarded")
+        memo, generations = self._held
+        self._bench._memo = {k: replace(m, seen=dict(m.seen)) for k, m in memo.items()}
+        self._bench._last_generation = dict(generations)
+
+    def discard(self) -> None:
+        self._held = None
+
+
 class Workbench:
     """Sources hold tables; derived nodes are functions from a mapping of parents' tables to a table."""
 
@@ -67,6 +85,9 @@ class Workbench:
         self._last_generation: dict[str, int] = {}
         self._pending: dict[str, DataFrame] | None = None
         self.report = Report()
+        #: How often each node was computed, and the seconds that took, over all demands.
+        self.invocations: dict[str, int] = {}
+        self.spent: dict[str, float] = {}
 
     # --- sources ----------------------------------------------------------------------------
 
@@ -127,6 +148,8 @@ class Workbench:
         after = self._store(name, table, now, seconds)
         self.report.evaluated.append(name)
         self.report.seconds[name] = seconds
+        self.invocations[name] = self.invocations.get(name, 0) + 1
+        self.spent[name] = self.spent.get(name, 0.0) + seconds
         (self.report.changed if after > before else self.report.cut_off).append(name)
         self.hooks.fire(Moment("after_evaluate" if after > before else "cut_off", name, {"seconds": seconds, "generation": after}))
 
@@ -150,6 +173,20 @@ class Workbench:
         fits = all(p in self._memo and memo.seen.get(p, (None,))[0] == self._memo[p].fingerprint for p in parents)
         return fits and all(self.graph.node(p).is_source or self.is_valid(p) for p in parents)
 
+    def memo(self, name: str) -> DataFrame | None:
+        """The table as it is kept, stale or not; nothing is computed."""
+        memo = self._memo.get(name)
+        return None if memo is None else memo.table
+
+    def seen(self, name: str) -> dict[str, int]:
+        """The generations of the parents that the kept table was computed from."""
+        memo = self._memo.get(name)
+        return {} if memo is None else {p: g for p, (_, g) in memo.seen.items()}
+
+    def states(self) -> dict[str, str]:
+        """CLEAN where the kept table may be used, else DIRTY."""
+        return {n: "CLEAN" if self.is_valid(n) else "DIRTY" for n in self.graph.names}
+
     def evict(self, name: str) -> bool:
         """Forget a table; its generation is not forgotten."""
         return self._memo.pop(name, None) is not None
@@ -160,6 +197,14 @@ class Workbench:
     def __len__(self) -> int:
         return len(self._memo)
 
+    # --- checkpoints ------------------------------------------------------------------------
+
+    def _held(self) -> tuple[dict[str, Memo], dict[str, int]]:
+        return {k: replace(m, seen=dict(m.seen)) for k, m in self._memo.items()}, dict(self._last_generation)
+
+    def checkpoint(self) -> Checkpoint:
+        return Checkpoint(self)
+
     # --- transactions -----------------------------------------------------------------------
 
     @contextlib.contextmanager
@@ -167,7 +212,7 @@ class Workbench:
         """Sources set inside count together at the end, with one propagation to ``watch``; an exception takes all back."""
         if self._pending is not None:
             raise TransactionError("a transaction is open already")
-        memo, generations = dict(self._memo), dict(self._last_generation)
+        before = self.checkpoint()
         self._pending = {}
         try:
             yield self
@@ -177,12 +222,20 @@ class Workbench:
             if watch:
                 self.demand(*watch)
         except BaseException:
-            self._memo, self._last_generation = memo, generations
+            before.restore()
             raise
         finally:
             self._pending = None
 
     def hotspots(self, top: int = 5) -> list[tuple[str, float]]:
-        """Nodes by the seconds that computing them took last."""
-        times = [(n, m.seconds) for n, m in self._memo.items() if not self.graph.node(n).is_source]
-        return sorted(times, key=lambda x: (-x[1], x[0]))[:top]
+        """Nodes by the seconds that computing them took in all."""
+        return sorted(self.spent.items(), key=lambda x: (-x[1], x[0]))[:top]
+
+    def profile(self, *names: str) -> dict[str, dict[str, float]]:
+        """Demand the nodes; for each one computed by that: how often it has been, and its seconds now and in all."""
+        self.demand(*names)
+        return {n: {"count": self.invocations[n], "seconds": self.report.seconds[n], "total": self.spent[n]} for n in self.report.evaluated}
+
+    @property
+    def total_seconds(self) -> float:
+        return sum(self.spent.values())

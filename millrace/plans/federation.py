@@ -50,6 +50,11 @@ class Federation:
             raise ValueError(f"{target}{SEP}{into} is not a source")
         self.bridges[target, into] = (source, node, transform)
 
+    def endpoint(self, space: str) -> Blueprint:
+        if space not in self.graphs:
+            raise KeyError(f"no graph is called {space}")
+        return self.graphs[space]
+
     def bridges_from(self, space: str) -> list[tuple[str, str]]:
         return sorted(k for k, v in self.bridges.items() if v[0] == space)
 
@@ -91,21 +96,44 @@ def concurrent(a: Column, b: Column) -> Column:
     return ~dominates(a, b) & ~dominates(b, a)
 
 
+def merged_clocks(clocks: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """``keys..., clock`` of ``clocks(keys..., clock)``: the greatest of each component over all rows of a key."""
+    keys = list(keys)
+    parts = clocks.select(*keys, F.explode("clock").alias("graph", "at")).groupBy(*keys, "graph").agg(F.max("at").alias("at"))
+    return parts.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("graph", "at")))).alias("clock"))
+
+
+def incremented(clock: Column, graph: Column) -> Column:
+    """The clock with one more at a graph."""
+    one = F.create_map(graph, F.coalesce(F.try_element_at(clock, graph), F.lit(0).cast("long")) + 1)
+    return merged_clock(clock, one)
+
+
 def sync_conflicts(mutations: DataFrame, syncs: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """Nodes in conflict at each sync: the target wrote the same node after the pair's last sync.
 
     ``mutations(keys..., seq, graph, node)`` and ``syncs(keys..., seq, source, target, node)``, one row for each node
-    synced. The window of a pair is its own: other pairs' syncs do not close it.
+    synced. The window of a pair is its own: other pairs' syncs do not close it. Writes are counted along the
+    order: those before a sync less those up to the pair's last one, so nothing is joined write by write.
     """
     from pyspark.sql.window import Window
 
     keys = list(keys)
     when = syncs.select(*keys, "source", "target", "seq").distinct()
-    last = F.coalesce(F.lag("seq").over(Window.partitionBy(*keys, "source", "target").orderBy("seq")), F.lit(-(1 << 62)))
-    s = syncs.join(when.withColumn("since", last), [*keys, "source", "target", "seq"])
-    m = mutations.select(*keys, F.col("graph").alias("target"), "node", F.col("seq").alias("wrote"))
-    hit = s.join(m, [*keys, "target", "node"]).where((F.col("wrote") > F.col("since")) & (F.col("wrote") < F.col("seq")))
-    return hit.groupBy(*keys, "seq", "source", "target", "node").agg(F.count("*").alias("writes"))
+    when = when.withColumn("since", F.lag("seq").over(Window.partitionBy(*keys, "source", "target").orderBy("seq")))
+    s = syncs.distinct().join(when, [*keys, "source", "target", "seq"])
+    row = F.struct("source", "seq")
+    # at one number a probe for what was up to it comes after the writes, one for what was before it ahead of them
+    probes = s.select(*keys, F.col("target").alias("graph"), "node", F.explode(F.array(
+        F.struct(F.col("seq").alias("at"), F.lit(0).alias("turn"), F.lit(1).alias("sign"), row.alias("row")),
+        F.struct(F.col("since").alias("at"), F.lit(2).alias("turn"), F.lit(-1).alias("sign"), row.alias("row")),
+    )).alias("p")).select(*keys, "graph", "node", "p.*").where("at is not null")
+    none = F.lit(None).cast(probes.schema["row"].dataType)
+    writes = mutations.select(*keys, "graph", "node", F.col("seq").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("sign"), none.alias("row"))
+    along = Window.partitionBy(*keys, "graph", "node").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    counted = writes.union(probes).withColumn("so_far", F.count(F.when(F.col("turn") == 1, 1)).over(along)).where("turn <> 1")
+    total = counted.groupBy(*keys, "row", "graph", "node").agg(F.sum(F.col("sign") * F.col("so_far")).alias("writes")).where("writes > 0")
+    return total.select(*keys, F.col("row.seq").alias("seq"), F.col("row.source").alias("source"), F.col("graph").alias("target"), "node", "writes")
 
 
 @dataclass
@@ -189,7 +217,10 @@ class Barrier:
 POLICIES = ("last_writer", "first_writer", "highest", "lowest", "merge", "reject")
 
 
-def resolved(policy: Column, source: Column, target: Column, source_clock: Column, target_clock: Column, merge: Callable[[Column, Column], Column] | None = None) -> Column:
+Merge = Callable[[Column, Column], Column]
+
+
+def resolved(policy: Column, source: Column, target: Column, source_clock: Column, target_clock: Column, merge: Merge | None = None) -> Column:
     """The value that a conflict ends with. Ties go to the source; without a merge function the last writer wins."""
     later = F.when(source_clock >= target_clock, source).otherwise(target)
     return (
@@ -202,16 +233,29 @@ def resolved(policy: Column, source: Column, target: Column, source_clock: Colum
     )
 
 
-def resolve_conflicts(conflicts: DataFrame, policies: DataFrame | None = None, default: str = "last_writer", merge: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """``conflicts(node, source_value, target_value, source_clock, target_clock)`` with ``policy``, ``value``, ``rejected``."""
+def resolve_conflicts(conflicts: DataFrame, policies: DataFrame | None = None, default: str = "last_writer", merge: Merge | None = None, merges: Mapping[str, Merge] | None = None) -> DataFrame:
+    """``conflicts(node, source_value, target_value, source_clock, target_clock)`` with ``policy``, ``value``, ``rejected``.
+
+    ``merges`` has merge functions of single nodes; the others have ``merge``.
+    """
     if policies is not None:
         conflicts = conflicts.join(policies, "node", "left").withColumn("policy", F.coalesce("policy", F.lit(default)))
     else:
         conflicts = conflicts.withColumn("policy", F.lit(default))
-    value = resolved(F.col("policy"), F.col("source_value"), F.col("target_value"), F.col("source_clock"), F.col("target_clock"), merge)
+    columns = [F.col(c) for c in ("policy", "source_value", "target_value", "source_clock", "target_clock")]
+    value = resolved(*columns, merge)
+    for node, own in (merges or {}).items():
+        value = F.when(F.col("node") == node, resolved(*columns, own)).otherwise(value)
     return conflicts.withColumn("value", value).withColumn("rejected", F.col("policy") == "reject")
 
 
+def conflict_history(resolved_rows: DataFrame, order: str) -> DataFrame:
+    """The resolved conflicts with ``turn``: the how-manyth of its node each is, from 1."""
+    from pyspark.sql.window import Window
+
+    return resolved_rows.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy(order)))
+
+
 def frequent_conflicts(conflicts: DataFrame, least: int = 3) -> DataFrame:
     return conflicts.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.lineage import cut
+from millrace.functions.lineage import cut, cut_counted, cut_once
 
 
 #: Steps whose results are read side by side before they are written as one.
@@ -21,17 +21,20 @@ UNIONS = 8
 
 
 def reach(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), reverse: bool = False) -> DataFrame:
-    """``by..., node_id, depth``: nodes reached from ``seeds(by..., node_id)`` and the least number of steps; seeds have 0."""
+    """``by..., node_id, depth``: nodes reached from ``seeds(by..., node_id)`` and the least number of steps; seeds have 0.
+
+    A step is one job: its rows are counted while they are written.
+    """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = cut(edges.select(F.col(a).alias("__from"), F.col(b).alias("__to")).distinct())
+    step = cut_once(edges).select(F.col(a).alias("__from"), F.col(b).alias("__to"))
     key = [*by, "node_id"]
     known = cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
     frontier, depth = known, 0
     while True:
         depth += 1
         new = frontier.join(step, F.col("node_id") == F.col("__from")).select(*by, F.col("__to").alias("node_id")).distinct()
-        new = cut(new.join(known.select(*key), key, "left_anti").withColumn("depth", F.lit(depth)))
-        if not new.limit(1).count():
+        new, n = cut_counted(new.join(known.select(*key), key, "left_anti").withColumn("depth", F.lit(depth)))
+        if not n:
             return known
         known, frontier = known.union(new), new
         if depth % UNIONS == 0:
@@ -47,27 +50,37 @@ def upstream(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> Da
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node_id, level``: the longest distance from a node without parents. Raises on a cycle."""
+    """``node_id, level``: the longest distance from a node without parents. Raises on a cycle. One job a level."""
     total = nodes.count()
-    left = cut(edges.select("src", "dst").distinct())
-    ready = cut(nodes.select("node_id").join(left.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_anti").withColumn("level", F.lit(0)))
-    done, level = ready, 0
-    waiting = cut(left.groupBy("dst").agg(F.count("*").alias("open")))
-    while True:
-        freed = ready.join(left, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.count("*").alias("freed"))
-        after = cut(waiting.join(freed, "dst", "left").select("dst", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open")))
+    left = cut_once(edges).select("src", "dst").distinct()
+    ready, n = cut_counted(nodes.select("node_id").join(left.select(F.col("dst").alias("node_id")), "node_id", "left_anti").withColumn("level", F.lit(0)))
+    done, level, finished = ready, 0, n
+    waiting = left.groupBy("dst").agg(F.count("*").alias("open"))
+    while n:
         level += 1
-        ready = cut(after.where("open = 0").select(F.col("dst").alias("node_id"), F.lit(level).alias("level")))
-        if not ready.limit(1).count():
-            break
-        waiting, done = after.where("open > 0"), done.union(ready)
-        if level % UNIONS == 0:
-            done = cut(done)
-    if done.count() < total:
+        freed = ready.join(left, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.count("*").alias("freed"))
+        after = waiting.join(freed, "dst", "left").select("dst", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open"))
+        after, n = cut_counted(after, F.col("open") == 0)
+        ready, waiting = after.where("open = 0").select(F.col("dst").alias("node_id"), F.lit(level).alias("level")), after.where("open > 0")
+        finished += n
+        if n:
+            done = done.union(ready)
+            if level % UNIONS == 0:
+                done = cut(done)
+    if finished < total:
         raise ValueError("the graph has a cycle")
     return done
 
 
+def longest_depths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``node_id, depth``: of what hangs on ``seeds(node_id)``, the longest way from a seed. Raises on a cycle among them."""
+    edges = cut_once(edges)
+    hit = cut(reach(edges, seeds).select("node_id"))
+    inner = edges.join(hit.withColumnRenamed("node_id", "src"), "src", "left_semi").join(hit.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    # a seed that hangs on another one is no start; what is on the way from it is further down by itself
+    return levels(hit, inner).where("level > 0").withColumnRenamed("level", "depth")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node_id, component``: weakly connected components, named by their least node.
 
@@ -79,9 +92,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = pairs.join(labels, F.col("b") == F.col("node_id")).groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node_id")
         low = labels.join(near, "node_id", "left").select("node_id", F.col("component").alias("old"), F.least("component", "near").alias("via"))
         far = labels.select(F.col("node_id").alias("via"), F.col("component").alias("far"))
-        new = cut(low.join(far, "via").select("node_id", "old", F.least("via", "far").alias("component")))
+        new, moved = cut_counted(low.join(far, "via").select("node_id", "old", F.least("via", "far").alias("component")), F.col("old") != F.col("component"))
         labels = new.select("node_id", "component")
-        if not new.where("old <> component").limit(1).count():
+        if not moved:
             return labels
 
 
@@ -168,14 +181,31 @@ def patterns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def pattern_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``kind, n``: how many patterns of each kind there are."""
+    return patterns(nodes, edges).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def shape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: depth, width, nodes a level, and whether the graph is a line or wider than deep."""
+    sizes = levels(nodes, edges).groupBy("level").agg(F.count("*").alias("n"))
+    row = sizes.agg(F.count("*").alias("depth"), F.max("n").alias("width"), F.sum("n").alias("nodes"))
+    return row.select("depth", "width", (F.col("nodes") / F.col("depth")).alias("parallelism"), (F.col("width") <= 1).alias("is_linear"), (F.col("width") > F.col("depth")).alias("is_wide"))
+
+
 # --- impact ------------------------------------------------------------------------------------------------
 
 
 def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``by..., affected, blast_radius, depth``: how much of the derived nodes hangs on the seeds, and how deep."""
+    """``by..., affected, blast_radius, depth, is_localized, is_widespread``: how much of the derived nodes hangs on the seeds, and how deep.
+
+    ``depth`` counts the fewest steps; ``longest_depths`` has the most.
+    """
     n = nodes.where("kind = 'derived'").count()
     hit = downstream(edges, seeds, by)
-    return hit.groupBy(*by).agg(F.count("*").alias("affected"), (F.count("*") / F.lit(max(n, 1))).alias("blast_radius"), F.max("depth").alias("depth"))
+    share = F.count("*") / F.lit(max(n, 1))
+    rows = hit.groupBy(*by).agg(F.count("*").alias("affected"), share.alias("blast_radius"), F.max("depth").alias("depth"))
+    return rows.withColumns({"is_localized": F.col("blast_radius") < 0.2, "is_widespread": F.col("blast_radius") > 0.5})
 
 
 def compare_impacts(edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -243,6 +273,24 @@ def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
+def marked_dirty(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """``nodes`` with ``state``: DIRTY for the derived nodes that hang on ``changed(node_id)``, else CLEAN."""
+    hit = downstream(edges, changed).select("node_id", F.lit(True).alias("__hit"))
+    state = F.when(F.col("__hit") & (F.col("kind") == "derived"), "DIRTY").otherwise("CLEAN")
+    return nodes.join(hit, "node_id", "left").withColumn("state", state).drop("__hit")
+
+
+def issue_summary(issues: DataFrame) -> DataFrame:
+    """``rank, severity, issue, n``, errors first."""
+    rank = F.when(F.col("severity") == "ERROR", 0).otherwise(1)
+    return issues.groupBy(rank.alias("rank"), "severity", "issue").agg(F.count("*").alias("n")).orderBy("rank", "issue")
+
+
+def is_healthy(issues: DataFrame) -> bool:
+    """Whether there is no error; warnings do no harm."""
+    return not issues.where("severity = 'ERROR'").limit(1).count()
+
+
 def stale_children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes marked CLEAN one of whose parents is DIRTY."""
     s = nodes.select("node_id", "state")

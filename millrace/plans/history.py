@@ -60,19 +60,32 @@ class History:
         rows = self._long({"evaluated": "evaluated", "changed": "changed"}, nodes)
         return rows.where(F.col("evaluated") & ~F.col("changed")).drop("evaluated", "changed", "old_value")
 
-    def trace(self) -> DataFrame:
-        """The events of each propagation: source changes, invalidations, evaluations and cutoffs, in order."""
+    def trace(self, nodes: Iterable[str] | None = None, kinds: Iterable[str] | None = None) -> DataFrame:
+        """The events of each propagation: source changes, invalidations, evaluations and cutoffs, in order.
+
+        ``nodes`` and ``kinds`` name what is recorded; events of other nodes and kinds are not even made.
+        """
+        kinds = {"SOURCE_CHANGED", "INVALIDATED", "COMPUTED", "CUT_OFF"} if kinds is None else set(kinds)
+        chosen = set(self.nodes if nodes is None else nodes)
         order = {n: i for i, n in enumerate([*self.graph.sources, *self.graph.schedule()])}
         events = []
         for n in self.nodes:
+            if n not in chosen:
+                continue
             at = F.lit(order[n]).alias("position")
             if self.graph.node(n).is_source:
-                events.append(F.when(F.col(f"{n}__changed"), F.struct(F.lit("SOURCE_CHANGED").alias("event"), F.lit(n).alias("node_id"), at)))
+                if "SOURCE_CHANGED" in kinds:
+                    events.append(F.when(F.col(f"{n}__changed"), F.struct(F.lit("SOURCE_CHANGED").alias("event"), F.lit(n).alias("node_id"), at)))
                 continue
-            touched = functools.reduce(lambda a, b: a | b, [F.col(f"{s}__changed") for s in self.graph.sources if self.graph.reaches(s, n)], F.lit(False))
-            events.append(F.when(touched, F.struct(F.lit("INVALIDATED").alias("event"), F.lit(n).alias("node_id"), at)))
+            if "INVALIDATED" in kinds:
+                touched = functools.reduce(lambda a, b: a | b, [F.col(f"{s}__changed") for s in self.graph.sources if self.graph.reaches(s, n)], F.lit(False))
+                events.append(F.when(touched, F.struct(F.lit("INVALIDATED").alias("event"), F.lit(n).alias("node_id"), at)))
             kind = F.when(F.col(f"{n}__changed"), "COMPUTED").otherwise("CUT_OFF")
-            events.append(F.when(F.col(f"{n}__evaluated"), F.struct(kind.alias("event"), F.lit(n).alias("node_id"), at)))
+            if {"COMPUTED", "CUT_OFF"} & kinds:
+                events.append(F.when(F.col(f"{n}__evaluated") & kind.isin(sorted(kinds)), F.struct(kind.alias("event"), F.lit(n).alias("node_id"), at)))
+        if not events:
+            none = F.struct(F.lit("").alias("event"), F.lit("").alias("node_id"), F.lit(0).alias("position"))
+            events = [F.when(F.lit(False), none)]
         listed = F.filter(F.array(*events), lambda e: e.isNotNull())
         return self.frame.select(*self.keys, *self.order, F.explode(listed).alias("e")).select(*self.keys, *self.order, "e.*")
 
@@ -128,15 +141,41 @@ def diff(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def diff_kinds(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every way in which a node differs between two snapshots: added, removed, value, generation."""
+    """Every way in which a node differs between two snapshots: added, removed, value, generation, and state if both have one."""
     on = [*keys, "node_id"]
-    a = before.select(*on, F.col("value").alias("v0"), F.col("generation").alias("g0"), F.lit(True).alias("in0"))
-    b = after.select(*on, F.col("value").alias("v1"), F.col("generation").alias("g1"), F.lit(True).alias("in1"))
+    state = F.col("state") if {"state"} <= set(before.columns) & set(after.columns) else F.lit(None)
+    a = before.select(*on, F.col("value").alias("v0"), F.col("generation").alias("g0"), F.lit(True).alias("in0"), state.alias("s0"))
+    b = after.select(*on, F.col("value").alias("v1"), F.col("generation").alias("g1"), F.lit(True).alias("in1"), state.alias("s1"))
     both = F.col("in0").isNotNull() & F.col("in1").isNotNull()
     kinds = F.array(
         F.when(F.col("in0").isNull(), F.lit("NODE_ADDED")),
         F.when(F.col("in1").isNull(), F.lit("NODE_REMOVED")),
         F.when(both & differs(F.col("v0"), F.col("v1")), F.lit("VALUE_CHANGED")),
+        F.when(both & differs(F.col("s0"), F.col("s1")), F.lit("STATE_CHANGED")),
         F.when(both & (F.col("g1") > F.col("g0")), F.lit("GENERATION_ADVANCED")),
     )
     return a.join(b, on, "full").select(*on, F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("change"))
+
+
+@dataclass
+class Differences:
+    """The rows of ``diff_kinds`` and what is asked of them."""
+
+    rows: DataFrame
+
+    def of(self, *kinds: str) -> DataFrame:
+        return self.rows.where(F.col("change").isin(list(kinds)))
+
+    def changed_nodes(self) -> DataFrame:
+        """``node_id`` of the nodes that differ in any way."""
+        return self.rows.select("node_id").distinct()
+
+    def summary(self) -> DataFrame:
+        """``change, n``: how many differences of each kind."""
+        return self.rows.groupBy("change").agg(F.count("*").alias("n"))
+
+    def count(self) -> int:
+        return self.rows.count()
+
+    def any(self) -> bool:
+        return bool(self.rows.limit(1).count())

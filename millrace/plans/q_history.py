@@ -6,21 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import cents, same_entries
+from millrace.functions.lineage import cut
 from millrace.graph.blueprint import Blueprint
 from millrace.operators import values as V
 from millrace.plans import batches
 from millrace.plans.catalogue import query
-from millrace.plans.history import History, diff, diff_kinds, replay
+from millrace.plans.history import Differences, History, diff, diff_kinds, replay
 from millrace.sources.tables import table
 
 KEYS, ORDER = ["user_id"], ["ts", "event_id"]
 
+#: The first third, and two thirds, of the event ids, whatever the size of the table.
+_EARLY_SQL = "event_id <= (SELECT max(event_id) // 3 FROM events)"
+_LATER_SQL = "event_id <= (SELECT 2 * max(event_id) // 3 FROM events)"
+
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a change log: each sets the source of its type, for its user, to its value in cents."""
     return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("input"), cents(F.col("value")).alias("value"))
 
 
+def _early(spark: SparkSession, sf_dir: str, parts: int, of: int = 1) -> F.Column:
+    """Whether an event is among the first of so many parts of the event ids."""
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    return F.col("event_id") <= of * last // parts
+
+
 def engagement() -> Blueprint:
     """view + click, coarse units of it, their ratio to purchases, and an alert on errors."""
     g = Blueprint()
@@ -93,12 +104,12 @@ def history_generation(spark, sf_dir):
 
 @query(
     _sql()
-    + """SELECT user_id, (arg_max(s, event_id)).v AS score, arg_max(score_generation, event_id) AS score_generation
-FROM (SELECT user_id, event_id, struct_pack(v := score) AS s, score_generation FROM h WHERE event_id <= 5000) GROUP BY user_id"""
+    + f"""SELECT user_id, (arg_max(s, event_id)).v AS score, arg_max(score_generation, event_id) AS score_generation
+FROM (SELECT user_id, event_id, struct_pack(v := score) AS s, score_generation FROM h WHERE {_EARLY_SQL}) GROUP BY user_id"""
 )
 def history_demand_as_of(spark, sf_dir):
     h = _history(spark, sf_dir)
-    return h.as_of(F.col("event_id") <= 5000).select("user_id", "score", F.col("score__generation").alias("score_generation"))
+    return h.as_of(_early(spark, sf_dir, 3)).select("user_id", "score", F.col("score__generation").alias("score_generation"))
 
 
 _VALID = " AND ".join(f"now.{p}_generation = seen.{p}_generation" for p in PARENTS["score"])
@@ -106,16 +117,16 @@ _VALID = " AND ".join(f"now.{p}_generation = seen.{p}_generation" for p in PAREN
 
 @query(
     _sql()
-    + f""", seen AS (SELECT user_id, max(step_generation) AS step_generation, max(alert_generation) AS alert_generation, max(purchase_generation) AS purchase_generation FROM h WHERE event_id <= 4000 GROUP BY user_id),
+    + f""", seen AS (SELECT user_id, max(step_generation) AS step_generation, max(alert_generation) AS alert_generation, max(purchase_generation) AS purchase_generation FROM h WHERE {_EARLY_SQL} GROUP BY user_id),
 now AS (SELECT user_id, max(step_generation) AS step_generation, max(alert_generation) AS alert_generation, max(purchase_generation) AS purchase_generation FROM h GROUP BY user_id)
 SELECT user_id, {_VALID} AS valid FROM now JOIN seen USING (user_id)"""
 )
 def memo_validity(spark, sf_dir):
-    """Whether the score remembered after event 4000 may still be used: its parents' generations are what they were."""
+    """Whether the score remembered after a third of the events may still be used: its parents' generations are what they were."""
     h = _history(spark, sf_dir)
     parents = h.graph.parents("score")
     gens = lambda rows: rows.select("user_id", F.create_map(*[x for p in parents for x in (F.lit(p), F.col(f"{p}__generation"))]).alias("gens"))
-    seen, now = gens(h.as_of(F.col("event_id") <= 4000)), gens(h.as_of())
+    seen, now = gens(h.as_of(_early(spark, sf_dir, 3))), gens(h.as_of())
     return now.join(seen.withColumnRenamed("gens", "seen"), "user_id").select("user_id", same_entries(F.col("gens"), F.col("seen")).alias("valid"))
 
 
@@ -134,9 +145,9 @@ def trace_events(spark, sf_dir):
     return _history(spark, sf_dir).trace().drop("position")
 
 
-@query(_sql() + "SELECT user_id, ts, event_id, CAST(score AS DOUBLE) AS value FROM h WHERE event_id <= 3000 AND score_changed")
+@query(_sql() + f"SELECT user_id, ts, event_id, CAST(score AS DOUBLE) AS value FROM h WHERE {_EARLY_SQL} AND score_changed")
 def replay_until(spark, sf_dir):
-    log = change_log(spark, sf_dir).where(F.col("event_id") <= 3000)
+    log = change_log(spark, sf_dir).where(_early(spark, sf_dir, 3))
     return replay(log, engagement(), KEYS, ORDER).recomputed(["score"]).select("user_id", "ts", "event_id", "value")
 
 
@@ -155,16 +166,16 @@ def _snap(until: str, name: str) -> str:
 
 @query(
     _sql()
-    + f", {_snap('event_id <= 3000', 'a')}, {_snap('event_id <= 6000', 'b')} SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.node_id, b.node_id) AS node_id, a.value AS before, b.value AS after FROM a FULL JOIN b ON a.user_id = b.user_id AND a.node_id = b.node_id WHERE a.value IS DISTINCT FROM b.value"
+    + f", {_snap(_EARLY_SQL, 'a')}, {_snap(_LATER_SQL, 'b')} SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.node_id, b.node_id) AS node_id, a.value AS before, b.value AS after FROM a FULL JOIN b ON a.user_id = b.user_id AND a.node_id = b.node_id WHERE a.value IS DISTINCT FROM b.value"
 )
 def snapshot_diff(spark, sf_dir):
     h = _history(spark, sf_dir)
-    return diff(h.snapshot(F.col("event_id") <= 3000), h.snapshot(F.col("event_id") <= 6000), KEYS)
+    return diff(h.snapshot(_early(spark, sf_dir, 3)), h.snapshot(_early(spark, sf_dir, 3, 2)), KEYS)
 
 
 @query(
     _sql()
-    + f""", {_snap('event_id <= 3000', 'a')}, {_snap('event_id <= 6000', 'b')},
+    + f""", {_snap(_EARLY_SQL, 'a')}, {_snap(_LATER_SQL, 'b')},
 j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.node_id, b.node_id) AS node_id, a.value AS v0, b.value AS v1, a.generation AS g0, b.generation AS g1, a.node_id IS NOT NULL AS in0, b.node_id IS NOT NULL AS in1
   FROM a FULL JOIN b ON a.user_id = b.user_id AND a.node_id = b.node_id)
 SELECT user_id, node_id, 'NODE_ADDED' AS change FROM j WHERE NOT in0 UNION ALL SELECT user_id, node_id, 'NODE_REMOVED' FROM j WHERE NOT in1
@@ -173,12 +184,12 @@ UNION ALL SELECT user_id, node_id, 'GENERATION_ADVANCED' FROM j WHERE in0 AND in
 )
 def graph_diff_kinds(spark, sf_dir):
     h = _history(spark, sf_dir)
-    return diff_kinds(h.snapshot(F.col("event_id") <= 3000), h.snapshot(F.col("event_id") <= 6000), KEYS)
+    return diff_kinds(h.snapshot(_early(spark, sf_dir, 3)), h.snapshot(_early(spark, sf_dir, 3, 2)), KEYS)
 
 
-@query(_sql() + f", {_snap('event_id <= 4000', 'a')} SELECT * FROM a")
+@query(_sql() + f", {_snap(_EARLY_SQL, 'a')} SELECT * FROM a")
 def snapshot_capture(spark, sf_dir):
-    return _history(spark, sf_dir).snapshot(F.col("event_id") <= 4000)
+    return _history(spark, sf_dir).snapshot(_early(spark, sf_dir, 3))
 
 
 # --- transactions and batches: four events make one, and an error among them fails it -------------------
@@ -225,3 +236,37 @@ def batch_sequence_stop(spark, sf_dir):
 def batch_dry_run(spark, sf_dir):
     state = _history(spark, sf_dir).as_of()
     return batches.dry_run(state, engagement(), {"view": F.col("view") + 100}, ["engagement"], KEYS)
+
+
+@query(_sql() + "SELECT user_id, ts, event_id, 'COMPUTED' AS event, 'score' AS node_id FROM h WHERE score_evaluated AND score_changed UNION ALL SELECT user_id, ts, event_id, 'CUT_OFF', 'score' FROM h WHERE score_evaluated AND NOT score_changed")
+def trace_of_node(spark, sf_dir):
+    """Only what happened to one node, without its invalidations."""
+    return _history(spark, sf_dir).trace(["score"], ["COMPUTED", "CUT_OFF"]).drop("position")
+
+
+_TALLY = " UNION ALL ".join(f"SELECT '{n}' AS node_id, count(*) FILTER ({n}_evaluated AND {n}_changed) AS computed, count(*) FILTER ({n}_evaluated AND NOT {n}_changed) AS cut_off FROM h" for n in PARENTS)
+
+
+@query(_sql() + _TALLY)
+def trace_counts(spark, sf_dir):
+    """How often each node was computed and how often cut off."""
+    rows = _history(spark, sf_dir).trace(kinds=["COMPUTED", "CUT_OFF"])
+    return rows.groupBy("node_id").agg(F.count_if(F.col("event") == "COMPUTED").alias("computed"), F.count_if(F.col("event") == "CUT_OFF").alias("cut_off"))
+
+
+_KINDS = """j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.node_id, b.node_id) AS node_id, a.value AS v0, b.value AS v1, a.generation AS g0, b.generation AS g1, a.node_id IS NOT NULL AS in0, b.node_id IS NOT NULL AS in1,
+  CASE WHEN NOT a.is_input AND a.value IS NULL THEN 'DIRTY' ELSE 'CLEAN' END AS s0, CASE WHEN NOT b.is_input AND b.value IS NULL THEN 'DIRTY' ELSE 'CLEAN' END AS s1 FROM a FULL JOIN b ON a.user_id = b.user_id AND a.node_id = b.node_id),
+k AS (SELECT node_id, 'NODE_ADDED' AS change FROM j WHERE NOT in0 UNION ALL SELECT node_id, 'NODE_REMOVED' FROM j WHERE NOT in1
+UNION ALL SELECT node_id, 'VALUE_CHANGED' FROM j WHERE in0 AND in1 AND v0 IS DISTINCT FROM v1 UNION ALL SELECT node_id, 'STATE_CHANGED' FROM j WHERE in0 AND in1 AND s0 <> s1
+UNION ALL SELECT node_id, 'GENERATION_ADVANCED' FROM j WHERE in0 AND in1 AND g1 > g0)"""
+
+
+@query(_sql() + f", {_snap(_EARLY_SQL, 'a')}, {_snap('TRUE', 'b')}, {_KINDS} SELECT change, count(*) AS n, (SELECT count(DISTINCT node_id) FROM k) AS nodes, (SELECT count(*) FROM k) AS changes FROM k GROUP BY change")
+def diff_summary(spark, sf_dir):
+    """Differences between the state after a third of the events and the last one, counted by kind; derived nodes without a value count as dirty."""
+    h = _history(spark, sf_dir)
+    state = F.when(~F.col("is_input") & F.col("value").isNull(), "DIRTY").otherwise("CLEAN")
+    early, late = (s.withColumn("state", state) for s in (h.snapshot(_early(spark, sf_dir, 3)), h.snapshot()))
+    d = Differences(cut(diff_kinds(early, late, KEYS)))
+    assert d.any() and d.of("VALUE_CHANGED").limit(1).count() == 1
+    return d.summary().withColumns({"nodes": F.lit(d.changed_nodes().count()), "changes": F.lit(d.count())})

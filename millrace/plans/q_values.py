@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from millrace.functions import cents
 from millrace.graph.blueprint import Blueprint
 from millrace.operators import values as V
-from millrace.operators.windows import Trailing
+from millrace.operators.windows import Trailing, restarts
+from millrace.plans.batches import without_failed
 from millrace.plans.catalogue import query
 from millrace.plans.evaluate import evaluate
 from millrace.sources.tables import table
@@ -36,13 +37,12 @@ def map_elementwise(spark, sf_dir):
 
 
 @query(
-    "SELECT vec_id, CAST(len(list_transform(embedding, lambda x: x * 2)) AS BIGINT) AS n,"
-    " CAST(list_max(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2)) AS DOUBLE) AS top FROM embeddings"
+    "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS place, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2)) AS scaled FROM embeddings"
 )
 def map_array(spark, sf_dir):
     g = _one("scaled", V.map_each("embedding", lambda x: x.cast("double") * 2), "embedding")
     rows = evaluate(table(spark, sf_dir, "embeddings"), g, ["scaled"], keep=["vec_id", "embedding"])
-    return rows.select("vec_id", F.size("scaled").cast("long").alias("n"), F.array_max("scaled").alias("top"))
+    return rows.select("vec_id", F.posexplode("scaled").alias("place", "scaled")).withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"SELECT event_id, {C} + 10 AS a, ({C} + 10) * 3 AS b, ({C} + 10) * 3 - 1 AS c FROM events")
@@ -178,6 +178,30 @@ def agg_weighted(spark, sf_dir):
     return _agg(spark, sf_dir, V.weighted(_SOURCES, [0.5, 0.25, 0.25]))
 
 
+_OPS = ["sum", "average", "min", "max", "count", "product"]
+
+
+@query(
+    _AGG.format(
+        """CASE WHEN q IS NOT NULL OR d IS NOT NULL OR t IS NOT NULL THEN coalesce(q, 0) + coalesce(d, 0) + coalesce(t, 0) END AS a_sum, CAST(coalesce(q, 0) + coalesce(d, 0) + coalesce(t, 0) AS DOUBLE) / nullif((q IS NOT NULL)::INT + (d IS NOT NULL)::INT + (t IS NOT NULL)::INT, 0) AS a_average,
+  least(q, d, t) AS a_min, greatest(q, d, t) AS a_max, CAST(nullif((q IS NOT NULL)::INT + (d IS NOT NULL)::INT + (t IS NOT NULL)::INT, 0) AS BIGINT) AS a_count,
+  CASE WHEN q IS NOT NULL OR d IS NOT NULL OR t IS NOT NULL THEN CAST(coalesce(q, 1) AS DOUBLE) * coalesce(d, 1) * coalesce(t, 1) END AS a_product, 1"""
+    )
+)
+def agg_by_name(spark, sf_dir):
+    """Every aggregate by its name, in one blueprint; an unknown name is refused."""
+
+    def all_of(c):
+        try:
+            V.aggregate("median", _SOURCES)
+        except ValueError:
+            return F.struct(*[V.aggregate(op, _SOURCES)(c).alias(f"a_{op}") for op in _OPS])
+        raise AssertionError("median is no aggregate")
+
+    rows = _agg(spark, sf_dir, all_of)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "result.*", F.lit(1).alias("result"))
+
+
 # --- conditionals ------------------------------------------------------------------------------------------
 
 
@@ -249,3 +273,35 @@ def window_custom_range(spark, sf_dir):
 def window_buffer(spark, sf_dir):
     w, c = _window(3), F.col("cents")
     return _events(spark, sf_dir).select("event_id", w.evicted(c).alias("evicted"), w.filled().cast("long").alias("filled"), w.oldest(c).alias("oldest"), w.is_full().alias("is_full"))
+
+
+@query(
+    f"""WITH r AS (SELECT *, {C} AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+SELECT user_id, count(*) AS filled, CAST(list(c ORDER BY ts, event_id)[1] AS BIGINT) AS oldest, CAST(list(c ORDER BY ts, event_id)[-1] AS BIGINT) AS newest, CAST(sum(c) AS BIGINT) AS total FROM r WHERE k <= 3 GROUP BY user_id"""
+)
+def window_get_buffer(spark, sf_dir):
+    """The windows as they are left after all events."""
+    held = _window(3).last_buffer(_events(spark, sf_dir), F.col("cents"))
+    return held.select(
+        "user_id", F.size("values").cast("long").alias("filled"), F.element_at("values", 1).alias("oldest"), F.element_at("values", -1).alias("newest"), F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")
+    )
+
+
+@query(
+    f"""WITH s AS (SELECT *, {C} AS c, sum((event_type = 'error')::INT) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM events)
+SELECT event_id, CAST(sum(c) OVER (PARTITION BY user_id, since ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS moving FROM s"""
+)
+def window_clear(spark, sf_dir):
+    """Every error empties its user's window."""
+    rows = restarts(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", "since")
+    return rows.select("event_id", Trailing(["user_id", "since"], ["ts", "event_id"], 3).total(F.col("cents")).alias("moving"))
+
+
+@query(
+    f"""WITH t AS (SELECT *, {C} AS c, event_id // 4 AS txn FROM events), k AS (SELECT * FROM t WHERE txn NOT IN (SELECT txn FROM t WHERE event_type = 'error'))
+SELECT event_id, CAST(sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS moving FROM k"""
+)
+def window_rollback(spark, sf_dir):
+    """Transactions of four events, of which those with an error are rolled back: windows are as if they had never been."""
+    log = _events(spark, sf_dir).withColumn("txn", F.expr("event_id div 4")).withColumn("bad", F.col("event_type") == "error")
+    return without_failed(log, "txn", "bad").select("event_id", _window(3).total(F.col("cents")).alias("moving"))

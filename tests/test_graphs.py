@@ -90,8 +90,7 @@ def test_chains_over_all_orders(spark, tmp_path):
     lines, orders = [(1, 5), (1, 7), (2, 11)], [(5, 50), (7, 50), (11, 60)]
     spark.createDataFrame(lines, "l_partkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {k: {(r["head"], r.n) for r in entry.queries()[k](spark, str(tmp_path)).collect()} for k in ("opt_chains", "opt_chains_whole")}
-    assert got == {"opt_chains": {("p:1", 3)}, "opt_chains_whole": {("p:2", 3)}}
+    assert {(r["head"], r.n) for r in entry.queries()["opt_chains"](spark, str(tmp_path)).collect()} == {("p:2", 3)}
 
 
 def test_dead_nodes_of_open_orders(spark):
@@ -99,6 +98,6 @@ def test_dead_nodes_of_open_orders(spark):
     import __spark_entry__ as entry
 
     sf = "/root/testdata/sf0.001"
-    dead = names(entry.queries()["opt_dead_nodes_open"](spark, sf))
+    dead = names(entry.queries()["opt_dead_nodes"](spark, sf))
     orders = {f"o:{r.o_orderkey}": r.o_orderstatus for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
     assert {k for k, v in orders.items() if v == "P"} == orders.keys() - dead
