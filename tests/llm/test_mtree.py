@@ -41,20 +41,62 @@ def test_equals_brute_force(spark, monkeypatch, shard, page):
 
 
 def test_triangle_inequality_saves_work():
+    """In clustered vectors a query meets few of them, fewer still with what another tree gave, and none where that is better than all."""
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 8)) * 2000
     v = np.rint(centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 8)) * 10).astype(np.int64)
-    tree = M.Tree(np.arange(6000), v)
-    seen = []
-
-    class Counted(np.ndarray):
-        def __getitem__(self, key):
-            seen.append(np.size(key))
-            return super().__getitem__(key)
-
-    tree.ids = tree.ids.view(Counted)
-    assert tree.search(-1, v[0], 5)[0][0] == int((v @ v[0]).max())
-    assert sum(seen) < 3000
+    one, two = M.Tree(np.arange(3000), v[:3000]), M.Tree(np.arange(3000, 6000), v[3000:])
+    want = sorted(((int(x @ v[0]), i) for i, x in enumerate(v)), key=lambda x: (-x[0], x[1]))[:5]
+    best = one.search(-1, v[0], 5)
+    alone = M.Tree(np.arange(3000, 6000), v[3000:])
+    alone.search(-1, v[0], 5)
+    assert two.search(-1, v[0], 5, best) == want
+    assert one.computed < 1500 and two.computed <= alone.computed < 1500
+    two.computed = 0
+    assert two.search(-1, v[0], 5, [(10**9, -k) for k in range(5)]) == [(10**9, -k) for k in range(5)] and two.computed == 0
+
+
+@pytest.mark.parametrize("size", [1 << 23, 1 << 40, (1 << 62) - 1])
+def test_large_components_keep_their_tree(size):
+    """Scores of any size are exact, and the tree still saves work."""
+    rng = np.random.default_rng(5)
+    centres = rng.uniform(-0.9, 0.9, size=(30, 6))
+    v = ((centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 6)) * 0.002) * size).astype(np.int64)
+    tree = M.Tree(np.arange(3000), v)
+    for q in (0, 7, 99):
+        scores = sorted(((sum(int(a) * int(b) for a, b in zip(x, v[q], strict=True)), i) for i, x in enumerate(v) if i != q), key=lambda x: (-x[0], x[1]))
+        tree.computed = 0
+        assert tree.search(q, v[q], 5) == scores[:5] and tree.computed < 2000
+    small = M.Tree(np.arange(50), rng.integers(-9, 9, (50, 6)))
+    scores = sorted(((sum(int(a) * int(b) for a, b in zip(x, v[0], strict=True)), int(i)) for i, x in zip(small.ids, small.vectors, strict=True)), key=lambda x: (-x[0], x[1]))
+    assert small.search(-1, v[0], 5) == scores[:5]
+
+
+def test_long_vectors_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD", 20)
+    rng = np.random.default_rng(6)
+    wide = rng.normal(size=(60, 3000)).astype(np.float32)
+    rows = [(i * 5, x.tolist()) for i, x in enumerate(wide)]
+    out = got(M.top_k(spark, table(spark, rows), every=50))
+    assert out == brute([i for i, _ in rows], np.floor(wide.astype(np.float64) * 256).astype(np.int64), 50)
+    # one id for many vectors: each is a query, and none a candidate of the others
+    few = [(50, x[:4].tolist()) for x in wide[:30]] + [(i, x[:4].tolist()) for i, x in enumerate(wide[30:40], 1)]
+    out = got(M.top_k(spark, table(spark, few), every=50))
+    assert len(out) == 30 * 5 and {r[2] for r in out} <= set(range(1, 11))
+    ints = np.floor(wide[:40, :4].astype(np.float64) * 256).astype(np.int64)
+    want = sorted((50, n + 1, i, s) for q in ints[:30] for n, (s, i) in enumerate(sorted(((int(x @ q), i) for i, x in enumerate(ints[30:], 1)), key=lambda x: (-x[0], x[1]))[:5]))
+    assert out == want
+
+
+def test_centres_bound_the_sample(spark, monkeypatch):
+    """Clusters far apart come into shards of their own, on whatever sample the centres are fitted."""
+    monkeypatch.setattr(M, "SHARD", 50)
+    monkeypatch.setattr(M, "SAMPLE", 64)
+    rng = np.random.default_rng(7)
+    v = (rng.normal(size=(4, 8)) * 50)[np.arange(400) % 4] + rng.normal(size=(400, 8)) * 0.1
+    ids = list(range(400))
+    out = got(M.top_k(spark, table(spark, [(i, x.tolist()) for i, x in zip(ids, v.astype(np.float32), strict=True)]), every=20))
+    assert out == brute(ids, np.floor(v.astype(np.float32).astype(np.float64) * 256).astype(np.int64), 20)
 
 
 def test_odd_rows(spark):
