@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from millrace.graph.blueprint import Blueprint
 from millrace.plans.history import replay
+from millrace.sources.claims import file_system
 
 
 class LiveReplay:
@@ -26,15 +27,16 @@ class LiveReplay:
     def __init__(self, graph: Blueprint, path: str, compact_every: int = 50) -> None:
         self.graph, self.path, self.compact_every = graph, path, compact_every
 
-    def _exists(self, spark: SparkSession, path: str) -> bool:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    def _numbers(self, spark: SparkSession) -> list[int]:
+        """The batches whose state is there, by one look at the folder."""
+        fs, at = file_system(spark, f"{self.path}/state")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(at)) if fs.exists(at) else []
 
     def _state(self, spark: SparkSession, before: int) -> DataFrame | None:
         """The latest state of each key from batches before this one."""
         # a compacted state stands for all batches up to its own
-        whole = max((b for b in range(0, before, 1) if (b + 1) % self.compact_every == 0), default=-1)
-        paths = [p for b in range(max(whole, 0), before) if self._exists(spark, p := f"{self.path}/state/{b}")]
+        whole = before // self.compact_every * self.compact_every - 1
+        paths = [f"{self.path}/state/{b}" for b in self._numbers(spark) if max(whole, 0) <= b < before]
         if not paths:
             return None
         df = spark.read.parquet(*paths)

@@ -15,6 +15,22 @@ def graph():
     return g
 
 
+def odd():
+    """A source without children, and a cycle that no builder would let pass."""
+    g = graph()
+    g.source("idle")
+    return g
+
+
+def broken():
+    from dataclasses import replace
+
+    g = graph()
+    g._nodes["sum"] = replace(g._nodes["sum"], parents=("x", "result"))
+    g._children["result"].append("sum")
+    return g
+
+
 HERE = "tests.test_cli:graph"
 
 
@@ -36,6 +52,17 @@ def test_commands(spark, capsys, tmp_path):
     assert main(["run", HERE, "--input", "x=10", "--input", "y=5", "--output", "sum"]) == 0 and "15" in capsys.readouterr().out
     assert main(["run", HERE, "--input", "x=10", "--dry-run"]) == 0 and "product, result, sum" in capsys.readouterr().out
     assert main(["run", HERE, "--input", "x=10"]) == 1 and main(["run", HERE, "--input", "q=1"]) == 1
+    assert main(["inspect", HERE, "--values", "x=10", "--values", "y=5"]) == 0 and "65" in capsys.readouterr().out
+    assert main(["inspect", HERE, "sum", "--values", "x=10", "--values", "y=5"]) == 0 and "value 15" in capsys.readouterr().out
+    assert main(["export", HERE, "--format", "json", "--output", str(tmp_path / "v"), "--values", "x=1", "--values", "y=2"]) == 0
+    assert '"value": 3' in (tmp_path / "v").read_text()
     with pytest.raises(SystemExit):
         main(["--version"])
     assert __version__ in capsys.readouterr().out
+
+
+def test_validation(capsys):
+    assert main(["validate", "tests.test_cli:odd"]) == 0 and "idle: source without children" in capsys.readouterr().out
+    assert main(["validate", "tests.test_cli:odd", "--strict"]) == 1 and main(["validate", "tests.test_cli:odd", "--strict", "--no-orphans"]) == 0
+    assert main(["validate", "tests.test_cli:broken"]) == 1 and "sum: on a cycle" in capsys.readouterr().out
+    assert main(["validate", "tests.test_cli:broken", "--no-cycles"]) == 0
