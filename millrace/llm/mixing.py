@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 #: Times that a source's words are taken at most.
 MOST = 3
 #: Documents in a stretch, the unit in which positions within a source are summed up.
-STRETCH = 4096
+STRETCH = 512
 #: Items from which on a split is not drawn by numpy's sampler, whose range ends there.
 LARGE = 10**9
 SEED = 20240517
@@ -172,13 +172,13 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] =
     base = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
     totals = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     sources = _plan([(r["source"], r["size"]) for r in totals], weights)
-    stretches = sum(r["n"] for r in totals) // STRETCH + 1
+    stretches = {r["source"]: r["n"] // STRETCH + 1 for r in totals}
 
     table = spark.createDataFrame(
-        [(s.name, i, s.size, s.target, s.block) for i, s in enumerate(sources)], "name string, source_no int, source_size long, target double, block_size int"
+        [(s.name, i, s.size, s.target, s.block, stretches[s.name]) for i, s in enumerate(sources)], "name string, source_no int, source_size long, target double, block_size int, stretches long"
     )
     numbered = base.join(F.broadcast(table) if len(sources) <= 100_000 else table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    numbered = numbered.withColumn("stretch", F.pmod(F.xxhash64("doc_id"), F.lit(stretches)))
+    numbered = numbered.withColumn("stretch", F.pmod(F.xxhash64("doc_id"), F.col("stretches")))
     order = Window.partitionBy("source_no", "stretch").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     sums = numbered.groupBy("source_no", "stretch").agg(F.sum("size").alias("all"))
     along = Window.partitionBy("source_no").orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)

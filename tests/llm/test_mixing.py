@@ -79,8 +79,9 @@ def plain_taken(rows, source):
     names = sorted({source[i] for i in sizes}, key=lambda k: (k is None, k or ""))
     totals = [sum(n for i, n in sizes.items() if source[i] == k) for k in names]
     goal = M.targets(totals, [(5, 2, 1)[k % 3] for k in range(len(names))])
-    stretches, taken = len(rows) // M.STRETCH + 1, {}
+    taken = {}
     for s, name in enumerate(names):
+        stretches = sum(source[i] == name for i in sizes) // M.STRETCH + 1
         own = sorted((i for i in sizes if source[i] == name), key=lambda i: (xxhash_long(i) % stretches, i))
         words = [i for i in own for _ in range(sizes[i])]
         length = min(64, max(1, totals[s] // 256))
