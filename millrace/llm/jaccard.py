@@ -25,6 +25,7 @@ enough common shingles go; the rest are verified on the exact sets.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,6 +59,8 @@ SCAN_COST = 8
 RANGES = 256
 #: Sets beyond FINE_FROM shingles have FINE ranges; those beyond LARGE might not fit a byte a range, and are never ruled out.
 FINE, FINE_FROM, LARGE = 1024, 700, 100_000
+#: Members of a long list that are compared in one piece.
+PIECE = 500
 #: Members, and shingles together, that a block of a component is meant to hold when its links are counted.
 BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: Columns of an incidence matrix at a time.
@@ -341,13 +344,17 @@ def _match(num: int, den: int):
 
 
 def _cross(num: int, den: int):
-    """Pairs of one long list whose classes are not in one component yet."""
+    """Pairs of one piece of a long list whose classes are not in one component yet.
+
+    Where rows have sides, only pairs of different sides count.
+    """
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["n", "node"], kind="stable")
-        node, label, n, p = (pdf[c].to_numpy() for c in ("node", "label", "n", "place"))
+        node, label, n, p, side = (pdf[c].to_numpy() for c in ("node", "label", "n", "place", "side"))
+        sides = side.max() > 0
         outline = pdf["outline"].tolist()
         coarse = np.stack([_coarse(x) for x in outline])
         last = np.searchsorted(n, n * den // num, "right")
@@ -355,6 +362,8 @@ def _cross(num: int, den: int):
         for i in range(len(node)):
             j = np.arange(i + 1, last[i])
             j = j[(label[j] != label[i]) & _may(n[i], p[i], n[j], p[j], num, den)]
+            if sides:
+                j = j[side[j] != side[i]]
             room = np.minimum(coarse[i], coarse[j]).sum(axis=1, dtype=np.int64)
             j = j[(room >= need(n[i], n[j], num, den)) | (n[j] > LARGE)]
             j = j[[_outlines_allow(int(n[i]), outline[i], int(n[k]), outline[k], num, den) for k in j.tolist()]] if len(j) else j
@@ -366,6 +375,38 @@ def _cross(num: int, den: int):
     return run
 
 
+def _pieces(lists: DataFrame) -> Iterator[DataFrame]:
+    """Lists of several components as pieces ``(token, i, j, side, ...)`` of at most some ``PIECE`` rows, which hold all pairs across components.
+
+    A list of one piece stays whole. In a longer one that one component dominates, as a group of copies does, its rows are
+    dealt over pieces, and those of the others go to each of them, on the other side; the others among themselves
+    are a list of at most half the length, and so on. Where no component has half of a list, each pair of its
+    pieces is one.
+    """
+    own = ["token", "node", "n", "place", "outline", "label"]
+    zero = F.lit(0).cast("long")
+    while True:
+        per = lists.groupBy("token", "label").agg(F.count("*").alias("c"))
+        sizes = per.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+        sizes = cut(sizes.select("token", "m", F.col("top.c").alias("c"), F.col("top.label").alias("top"), F.ceil(F.col("m") / PIECE).alias("pieces")))
+        if not sizes.limit(1).count():
+            return
+        rows = lists.join(sizes, "token")
+        piece = F.pmod(F.xxhash64("node"), "pieces")
+        yield rows.where("pieces = 1").select(*own, zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"))
+        large = cut(rows.where("pieces > 1").select(*own, "top", "pieces", (F.col("c") * 2 >= F.col("m")).alias("led"), piece.alias("piece")))
+        if not large.limit(1).count():
+            return
+        every = F.explode(F.sequence(zero, F.col("pieces") - 1))
+        main, others = large.where("led and label = top"), large.where("led and label <> top")
+        yield main.select(*own, F.col("piece").alias("i"), zero.alias("j"), F.lit(0).alias("side"))
+        yield others.withColumn("i", every).select(*own, "i", zero.alias("j"), F.lit(1).alias("side"))
+        pairs = large.where("not led").withColumn("other", every)
+        side = F.when(F.col("piece") > F.col("other"), 1).otherwise(0)
+        yield pairs.select(*own, F.least("piece", "other").alias("i"), (F.greatest("piece", "other") + 1).alias("j"), side.alias("side"))
+        lists = others.select(*own)
+
+
 def _rule_out(num: int, den: int):
     """Drops candidate pairs whose outlines leave no room for enough common shingles."""
 
@@ -623,10 +664,12 @@ def similarity_classes(spark: SparkSession, docs: DataFrame, width: int = WIDTH,
         label = components(links)
         lists = cut(sized.join(label, "node", "left").select("token", "node", "n", "place", "outline", F.coalesce("component", "node").alias("label")))
         listed = cut(lists.groupBy("node").agg(F.max("n").alias("n")))
-        mixed = lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-        rest = lists.join(mixed, "token", "left_semi").groupBy("token").applyInPandas(_cross(num, den), "a long, b long")
-        rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if rest.limit(1).count():
+        pieces = list(_pieces(lists))
+        rest = None
+        if pieces:
+            dealt = functools.reduce(DataFrame.union, pieces).groupBy("token", "i", "j").applyInPandas(_cross(num, den), "a long, b long")
+            rest = cut(dealt.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if rest is not None and rest.limit(1).count():
             more = _verified(spark, docs, rest, classes, width, num, den)
             label = merge_components(label, more)
             links = cut(links.union(more))

@@ -36,6 +36,25 @@ def test_large_groups(spark, monkeypatch):
     assert run(spark, rows) == jaccard_components(rows)
 
 
+@pytest.mark.parametrize("piece", [4, 9])
+def test_long_lists_in_pieces(spark, monkeypatch, piece):
+    """Lists that one component leads, lists that none does, and strays among copies."""
+    monkeypatch.setattr(J, "SHORT_LIST", 3)
+    monkeypatch.setattr(J, "PIECE", piece)
+    rng = random.Random(15)
+    base, rows = prose(rng, 100), corpus(5, 20)
+    rows += [(1000 + i, edit(rng, base, 0.01)) for i in range(30)]
+    text = base
+    for i in range(30):  # edits of edits leave the first text behind
+        text = edit(rng, text, 0.03)
+        rows.append((2000 + i, text))
+    common = prose(rng, 30)
+    rows += [(3000 + i, common + " " + prose(rng, 6)) for i in range(40)]
+    want = jaccard_components(rows)
+    assert len({c for _, c in want.values()}) > 10
+    assert run(spark, rows) == want
+
+
 def test_links_are_all_counted(spark, monkeypatch):
     """In long lists every pair of near copies counts, also within blocks and between them."""
     monkeypatch.setattr(J, "SHORT_LIST", 3)
