@@ -60,15 +60,17 @@ RANGES = 256
 #: Sets beyond FINE_FROM shingles have FINE ranges; those beyond LARGE might not fit a byte a range, and are never ruled out.
 FINE, FINE_FROM, LARGE = 1024, 700, 100_000
 #: Members of a long list that are compared in one piece.
-PIECE = 500
+PIECE = 5000
 #: Members, and shingles together, that a block of a component is meant to hold when its links are counted.
 BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: Columns of an incidence matrix at a time.
 COLUMNS = 4096
-#: The place of entries that are subsets.
-SUBSET = 65535
+#: Classes that have a token within one buffer from which on only three of them go to the token's bucket.
+HEAVY = 64
+#: The places of entries that are subsets, and of those that stand for a buffer's many; lesser places are true.
+SUBSET, STANDS = 65535, 65534
 _BUFFER = 24 << 20
-_SURVEYED = 64 << 20
+_SURVEYED = 32 << 20
 _U = np.uint64
 
 
@@ -198,13 +200,71 @@ def _subset_hashes(s: np.ndarray, size: int) -> np.ndarray:
     return mix(sums ^ _U(size * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
+def _stand_ins(t: np.ndarray, p: np.ndarray, o: np.ndarray, n_of: np.ndarray, num: int, den: int):
+    """The entries (token, place, owner) of a buffer that go to buckets, and what is found of tokens that ``HEAVY`` owners share.
+
+    Of such tokens: pairs of owners to be compared, one of each pair being one of three pivots; all entries; and their places.
+    """
+    if len(t) < HEAVY:
+        return None, None
+    h = t >> _U(16)
+    by_token = np.sort(h)
+    many = np.unique(by_token[HEAVY - 1 :][by_token[HEAVY - 1 :] == by_token[: len(h) - HEAVY + 1]])
+    if not len(many):
+        return None, None
+    some = np.flatnonzero(np.isin(h, many))
+    order = some[np.lexsort((o[some], h[some]))]
+    keep = np.ones(len(order), bool)  # an owner counts once
+    keep[1:] = (h[order[1:]] != h[order[:-1]]) | (o[order[1:]] != o[order[:-1]])
+    order = order[keep]
+    edge = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]], [True]]))
+    length = np.diff(edge)
+    if length.max() < HEAVY:
+        return None, None
+    gone = np.zeros(len(t), bool)
+    pairs, far = [], []
+    for a, m in zip(edge[:-1][length >= HEAVY].tolist(), length[length >= HEAVY].tolist(), strict=True):
+        rows = order[a : a + m]
+        rows = rows[np.argsort(n_of[o[rows]], kind="stable")]
+        pivots = rows[[0, m // 2, m - 1]]
+        gone[rows] = True
+        gone[pivots] = False
+        far.append(rows)
+        for k in pivots.tolist():
+            two = np.stack([np.full(m, o[k]), o[rows]], 1)
+            pairs.append(two[(two[:, 0] != two[:, 1]) & _may(n_of[two[:, 0]], 0, n_of[two[:, 1]], 0, num, den)])
+    far = np.concatenate(far)
+    pairs = np.concatenate(pairs).astype(np.int64)
+    pairs = np.unique(np.stack([pairs.min(axis=1), pairs.max(axis=1)], 1), axis=0)
+    return np.flatnonzero(~gone), (pairs, far, np.where(p[far] == SUBSET, 0, p[far]))
+
+
+def _past(pdf, num: int, den: int):
+    """What ``_entries`` found itself, as ``_match`` gives it."""
+    import pandas as pd
+
+    frames = []
+    for t, o, p, c in zip(pdf["tokens"], pdf["owners"], pdf["places"], pdf["classes"], strict=True):
+        own, two = np.frombuffer(o, np.int64).reshape(-1, 2), np.frombuffer(c, np.int64).reshape(-1, 4)
+        # the order of the sides is that of _match, so that a pair found in both is one
+        back = (two[:, 0].view(_U) > two[:, 2].view(_U)) | (two[:, 0] == two[:, 2]) & (two[:, 1] > two[:, 3])
+        two = np.where(back[:, None], two[:, [2, 3, 0, 1]], two)
+        frames.append(pd.DataFrame({"token": None, "a0": two[:, 0], "a1": two[:, 1], "b0": two[:, 2], "b1": two[:, 3], "place": SHARED}).astype("Int64"))
+        frames.append(pd.DataFrame({"token": np.frombuffer(t, np.int64), "a0": own[:, 0], "a1": own[:, 1], "b0": None, "b1": None, "place": np.frombuffer(p, np.int64)}).astype("Int64"))
+    return pd.concat(frames, ignore_index=True)
+
+
 def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
     """List entries of each class, packed by hash bucket.
 
     An entry is a token (subset or shingle), the class, and the shingle's place in the order (for subsets
     ``SUBSET``). It travels in eight bytes: 48 bits of the token, a chance match being a candidate more to
-    verify, and the place below 65535, a lesser place only weakening the filter. Classes are given by one
+    verify, and the place below ``STANDS``, a lesser place only weakening the filter. Classes are given by one
     fingerprint and the size, with how many entries each has; names that coincide mean candidates more, too.
+
+    Where ``HEAVY`` classes of a buffer share a token, as near copies do, they are compared with three of them
+    here, and only these go to the bucket. So a bucket has three entries of such a token for each buffer, however many
+    copies there are. The pairs and the members of the list go past the buckets, in rows with a negative one.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -223,10 +283,23 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
                 return
             t, p = np.concatenate(tokens), np.concatenate(places).astype(np.uint16)
             o = np.repeat(np.array([x for x, _ in owners], np.uint32), [k for _, k in owners])
+            table = np.stack(known)
+            few, members = _stand_ins(t, p, o, table[:, 2].astype(np.int64), num, den)
+            if members is not None:
+                pairs, far, far_place = members
+                token, key = (t[far] >> _U(16)).view(np.int64), table.view(np.int64)
+                piece = 1 << 16
+                for rows in range(0, max(len(far), len(pairs)), piece):
+                    cut_, two = slice(rows, rows + piece), pairs[rows : rows + piece]
+                    blobs = [token[cut_], key[o[far[cut_]]][:, [0, 2]], far_place[cut_].astype(np.int64), np.concatenate([key[two[:, 0]][:, [0, 2]], key[two[:, 1]][:, [0, 2]]], 1)]
+                    hold = [np.ascontiguousarray(x).tobytes() for x in blobs]
+                    past = -1 - int(table[o[far[min(rows, len(far) - 1)]], 0] % _U(buckets))
+                    yield pa.record_batch([pa.array([past], pa.int64()), *(pa.array([x], pa.binary()) for x in hold)], names=["bucket", "tokens", "owners", "places", "classes"])
+                t, p, o = t[few], p[few], o[few]
+                p[np.isin(few, far)] = STANDS
             b = (t >> _U(20)) % _U(buckets)
             order = np.argsort(b, kind="stable")
             t, p, o, b = t[order], p[order], o[order], b[order]
-            table = np.stack(known)
             edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
             out: list[list] = [[], [], [], [], []]
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -254,7 +327,7 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
                         late = frequent[(s >> _U(64 - MARKS)).astype(np.int64)].astype(bool)
                         first = np.concatenate([s[~late], s[late]])[: prefix_length(n, num, den)]
                         tokens.append(first)
-                        places.append(np.minimum(np.arange(len(first), dtype=np.uint32), SUBSET - 1))
+                        places.append(np.minimum(np.arange(len(first), dtype=np.uint32), STANDS - 1))
                         owners.append((len(known), len(first)))
                     known.append(key)
                     held += 16 * sum(len(x) for x in tokens[-1:])
@@ -278,6 +351,8 @@ def _match(num: int, den: int):
     def run(pdf):
         import pandas as pd
 
+        if pdf["bucket"].iloc[0] < 0:
+            return _past(pdf, num, den)
         base, parts = 0, []
         for t, o, p, c in zip(pdf["tokens"], pdf["owners"], pdf["places"], pdf["classes"], strict=True):
             m = len(c) // 12
@@ -297,7 +372,8 @@ def _match(num: int, den: int):
         near[1:] = t[1:] == t[:-1]
         near[:-1] |= near[1:].copy()
         t, o, p = t[near], o[near], p[near]
-        order = np.lexsort((p, o, n_of[o], t))
+        # an entry that stands for others comes before the same class's entry from another buffer, and stays
+        order = np.lexsort((np.where(p == STANDS, -1, p), o, n_of[o], t))
         t, o, p = t[order], o[order], p[order]
         keep = np.ones(len(t), bool)
         keep[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
@@ -305,27 +381,32 @@ def _match(num: int, den: int):
         edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]])) if len(t) else np.zeros(1, int)
         start, length = edge[:-1], np.diff(edge)
         left, right, weight, longer = [], [], [], []
-        subset = p == SUBSET
-        p = np.where(subset, 0, p)
+        subset, stands = p == SUBSET, p == STANDS
+        p = np.where(subset | stands, 0, p)
+        # a list is long by its length, or because a buffer had many of its members
+        marked = np.add.reduceat(stands, start) > 0 if len(t) else np.zeros(0, bool)
         for m in np.unique(length).tolist():
             if m < 2:
                 continue
-            rows = start[length == m]
             if m <= SHORT_LIST:
+                rows = start[(length == m) & ~marked]
                 i, j = np.triu_indices(m, 1)
                 a, b = (rows[:, None] + i).ravel(), (rows[:, None] + j).ravel()
                 ok = _may(n_of[o[a]], p[a], n_of[o[b]], p[b], num, den)
                 w = np.where(subset[a] | subset[b], SHARED, 1)  # a common subset is enough by itself
-            else:
+                left.append(o[a[ok]])
+                right.append(o[b[ok]])
+                weight.append(w[ok])
+            rows = start[(length == m) & marked] if m <= SHORT_LIST else start[length == m]
+            if len(rows):
                 every = (rows[:, None] + np.arange(m)).ravel()
-                longer.append(every)
+                longer.append(every[~stands[every]])  # the others are known from their buffers
                 pivots = [np.repeat(rows + k, m) for k in (0, m // 2, m - 1)]
                 a, b = np.concatenate(pivots), np.tile(every, 3)
                 ok = (a != b) & _may(n_of[o[a]], 0, n_of[o[b]], 0, num, den)
-                w = np.full(len(a), SHARED)  # the pivots' pairs are candidates whatever else they share
-            left.append(o[a[ok]])
-            right.append(o[b[ok]])
-            weight.append(w[ok])
+                left.append(o[a[ok]])
+                right.append(o[b[ok]])
+                weight.append(np.full(int(ok.sum()), SHARED))  # the pivots' pairs are candidates whatever else they share
         left = np.concatenate([*left, np.zeros(0, np.int64)])
         right = np.concatenate([*right, np.zeros(0, np.int64)])
         weight = np.concatenate([*weight, np.zeros(0, np.int64)])

@@ -55,6 +55,29 @@ def test_long_lists_in_pieces(spark, monkeypatch, piece):
     assert run(spark, rows) == want
 
 
+@pytest.mark.parametrize("buffer", [24 << 20, 30_000])
+def test_tokens_that_many_classes_of_a_buffer_share(spark, monkeypatch, buffer):
+    """Three classes stand for a buffer's many: in one buffer or in several, with strays in others, small sets included."""
+    monkeypatch.setattr(J, "SHORT_LIST", 4)
+    monkeypatch.setattr(J, "HEAVY", 6)
+    monkeypatch.setattr(J, "_BUFFER", buffer)
+    rng = random.Random(16)
+    base, other = prose(rng, 100), prose(rng, 80)
+    rows = corpus(7, 30) + [(1000 + i, edit(rng, base, 0.01)) for i in range(60)]
+    rows += [(2000 + i, edit(rng, other, 0.01)) for i in range(9)]
+    text = base
+    for i in range(25):
+        text = edit(rng, text, 0.02)
+        rows.append((3000 + i, text))
+    small = "a b c d e f g h i j k l"
+    rows += [(4000 + i, f"{small} x{i}") for i in range(20)] + [(5000 + i, f"y{i} {small}") for i in range(20)]
+    assert run(spark, rows) == jaccard_components(rows)
+    sets = {i: shingles(t) for i, t in rows}
+    classes = {s for s in sets.values() if s}
+    similar = {s: sum(s != o and 5 * len(s & o) >= 4 * len(s | o) for o in classes) for s in classes}
+    assert {r.doc_id: r.n_links for r in J.near_duplicates(spark, documents(spark, rows)).collect()} == {i: similar.get(s, 0) for i, s in sets.items()}
+
+
 def test_links_are_all_counted(spark, monkeypatch):
     """In long lists every pair of near copies counts, also within blocks and between them."""
     monkeypatch.setattr(J, "SHORT_LIST", 3)
