@@ -196,7 +196,8 @@ def round_trip(spark: SparkSession, docs: DataFrame, path: str | None = None) ->
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row of ``docs``.
 
     Null and empty texts have no tokens and the digests of the empty string. Special tokens'
-    strings within a text become their ids, as the vocabulary's own library does by default.
+    strings within a text become their ids, as the vocabulary's own library does by default. Repeated rows have a row each,
+    with equal values. Texts and words of many megabytes are encoded whole; equal ranks merge from the left.
     """
     shared = _shared(spark, path or vocabulary_path())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

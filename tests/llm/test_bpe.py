@@ -62,3 +62,15 @@ def test_table(spark, pair):
     full = B.encode(spark, documents(spark, rows))
     assert full.columns == [*documents(spark, []).columns, "ids"] and full.where("text is null").first().ids == []
     assert B.round_trip(spark, documents(spark, [])).count() == 0
+
+
+def test_very_long_words_and_repeated_rows(spark, pair):
+    rng = random.Random(2)
+    long = "".join(rng.choice("etaoinsh") for _ in range(2_000_000))
+    rows = [(1, long), (2, "a b"), (2, "a b"), (2, "c"), (3, " " * 1_000_000), (4, "word " * 300_000)]
+    out = B.round_trip(spark, documents(spark, rows)).collect()
+    assert len(out) == 6 and len({(r.n_tokens, r.ids_sha256) for r in out if r.doc_id == 2}) == 2
+    for i, t in rows:
+        if i != 2:
+            ids = np.array(pair[1].encode(t, add_special_tokens=False).ids, "<u4")
+            assert [r.ids_sha256 for r in out if r.doc_id == i] == [hashlib.sha256(ids.tobytes()).hexdigest()]
