@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm import boilerplate, bpe, jaccard, langid, mixing
-from millrace.llm.common import cut, doc_mod, prepare
+from millrace.llm.common import cut, doc_mod, prepare, remove
 
 #: What SQL cannot express: trained trees, seeded draws, and byte-pair merges.
 ORACLE_SQL = None
@@ -75,7 +75,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what lies between them is written to the checkpoint folder."""
+    """All stages on ``documents``; what lies between them is written to the checkpoint folder.
+
+    A stage's output goes once the next one's is written; the last that is written stays, since the result reads it.
+    Documents of any length pass whole, and repeated rows and empty tables through every stage.
+    """
     prepare(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -84,4 +88,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{base}/{i}")
             docs = spark.read.parquet(f"{base}/{i}")
+            if i:
+                remove(spark, f"{base}/{i - 1}")
     return docs
