@@ -150,11 +150,16 @@ def fan_in_aggregations(nodes: DataFrame, edges: DataFrame, least: int = 3) -> D
 
 
 def diamonds(edges: DataFrame) -> DataFrame:
-    """``node_id, n_shared``: nodes two of whose parents have an ancestor (or themselves) in common, and how many such."""
-    e = edges.select("src", "dst").distinct()
-    parents = e.select(F.col("src").alias("node_id")).distinct()
+    """``node_id, n_shared``: nodes two of whose parents have an ancestor (or themselves) in common, and how many such.
+
+    Only parents of nodes with two or more of them are followed upwards.
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    several = e.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst")
+    below = e.join(several, "dst", "left_semi")
+    parents = below.select(F.col("src").alias("node_id")).distinct()
     lines = reach(e, parents.select(F.col("node_id").alias("of"), "node_id"), ("of",), reverse=True).select(F.col("of").alias("src"), F.col("node_id").alias("ancestor"))
-    shared = e.join(lines, "src").groupBy("dst", "ancestor").agg(F.count("*").alias("ways")).where("ways > 1")
+    shared = below.join(lines, "src").groupBy("dst", "ancestor").agg(F.count("*").alias("ways")).where("ways > 1")
     return shared.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n_shared"))
 
 

@@ -104,11 +104,12 @@ def live_throttle(events: DataFrame, keys: Sequence[str], order: str, ts: str, i
 
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["__t", order])
-        kept = []
-        for i, t in zip(rows[order], rows["__t"], strict=True):
-            if last is None or t - last >= interval:
-                last = int(t)
-                kept.append(i)
+        ids, times, kept = rows[order].to_numpy(), rows["__t"].to_numpy(), []
+        at = 0 if last is None else int(times.searchsorted(last + interval))
+        while at < len(times):  # leap from emission to emission
+            last = int(times[at])
+            kept.append(ids[at])
+            at = max(at + 1, int(times.searchsorted(last + interval)))
         if last is not None:
             state.update((last,))
         yield pd.DataFrame({**{k: [v] * len(kept) for k, v in zip(keys, key, strict=True)}, order: kept})
