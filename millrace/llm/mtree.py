@@ -297,8 +297,8 @@ def top_k(spark: SparkSession, rows: DataFrame, every: int = EVERY, k: int = K,
     placed, shards = _clustered(spark, given, {d: n for d, (n, _) in counts.items()})
     blocks = {d: -(-q // BLOCK) for d, (_, q) in counts.items()}
     # groups that keep the cluster busy even where queries are few, and runs that do not
-    wanted = 4 * spark.sparkContext.defaultParallelism
-    group = {d: max(1, min(GROUP, -(-b * shards[d] // wanted))) for d, b in blocks.items()}
+    wanted = spark.sparkContext.defaultParallelism
+    group = {d: max(1, min(GROUP, b * shards[d] // wanted)) for d, b in blocks.items()}
     run = {d: max(1, min(RUN, shards[d] * -(-blocks[d] // group[d]) // wanted)) for d in blocks}
     of = lambda table: F.element_at(F.create_map(*[F.lit(y).cast("long") for kv in {**table, -1: 1}.items() for y in kv]), F.col("dim").cast("long"))
 
