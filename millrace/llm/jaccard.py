@@ -288,12 +288,12 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
             if members is not None:
                 pairs, far, far_place = members
                 token, key = (t[far] >> _U(16)).view(np.int64), table.view(np.int64)
-                piece = 1 << 16
+                piece = 1 << 13
                 for rows in range(0, max(len(far), len(pairs)), piece):
                     cut_, two = slice(rows, rows + piece), pairs[rows : rows + piece]
                     blobs = [token[cut_], key[o[far[cut_]]][:, [0, 2]], far_place[cut_].astype(np.int64), np.concatenate([key[two[:, 0]][:, [0, 2]], key[two[:, 1]][:, [0, 2]]], 1)]
                     hold = [np.ascontiguousarray(x).tobytes() for x in blobs]
-                    past = -1 - int(table[o[far[min(rows, len(far) - 1)]], 0] % _U(buckets))
+                    past = -1 - int((table[0, 0] + _U(rows // piece)) % _U(buckets))
                     yield pa.record_batch([pa.array([past], pa.int64()), *(pa.array([x], pa.binary()) for x in hold)], names=["bucket", "tokens", "owners", "places", "classes"])
                 t, p, o = t[few], p[few], o[few]
                 p[np.isin(few, far)] = STANDS
