@@ -299,7 +299,7 @@ def channel_drain(spark, sf_dir):
     channel.pause()
     _feed(channel, _nations(spark, sf_dir))
     assert channel.pending == 5
-    return _rows(spark, [(e.node, e.value) for e in channel.drain()], "node string, value long")
+    return _rows(spark, [(e.node, e.value) for e in channel.drain()], "node string, value int")
 
 
 @query(

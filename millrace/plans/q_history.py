@@ -269,4 +269,4 @@ def diff_summary(spark, sf_dir):
     early, late = (s.withColumn("state", state) for s in (h.snapshot(_early(spark, sf_dir, 3)), h.snapshot()))
     d = Differences(cut(diff_kinds(early, late, KEYS)))
     assert d.any() and d.of("VALUE_CHANGED").limit(1).count() == 1
-    return d.summary().withColumns({"nodes": F.lit(d.changed_nodes().count()), "changes": F.lit(d.count())})
+    return d.summary().withColumns({"nodes": F.lit(d.changed_nodes().count()).cast("long"), "changes": F.lit(d.count()).cast("long")})

@@ -135,7 +135,7 @@ def journal_rollback_undo(spark, sf_dir):
 
     log = _journal(spark, sf_dir)
     undo = J.to_undo(log, _eleventh(log))  # of one transaction, so one window over it is small
-    return undo.select("seq", "key", "old_value", F.row_number().over(Window.orderBy(F.desc("seq"))).alias("turn"))
+    return undo.select("seq", "key", "old_value", F.row_number().over(Window.orderBy(F.desc("seq"))).cast("long").alias("turn"))
 
 
 @query(f"WITH {_J}, {_R} SELECT j.seq, CASE WHEN ok.seq IS NOT NULL THEN 'recovered' ELSE j.state END AS state FROM j LEFT JOIN ok USING (seq)")
@@ -235,7 +235,7 @@ def store_restore(spark, sf_dir):
     return store.content().select("key", "value_json")
 
 
-@query("SELECT count(*) + 2 AS entries, count(*) + 4 AS writes, 4 AS reads, 3 AS hits, 1 AS misses, 0.75::DOUBLE AS hit_rate FROM customer")
+@query("SELECT count(*) + 2 AS entries, count(*) + 4 AS writes, 4::BIGINT AS reads, 3::BIGINT AS hits, 1::BIGINT AS misses, 0.75::DOUBLE AS hit_rate FROM customer")
 def store_stats(spark, sf_dir):
     store = kv.TableStore(spark, _folder(spark, "store"))
     store.put_table(_balances(spark, sf_dir))
