@@ -242,9 +242,12 @@ def _stand_ins(t: np.ndarray, p: np.ndarray, o: np.ndarray, n_of: np.ndarray, nu
 def _past(pdf, num: int, den: int):
     """What ``_entries`` found itself, as ``_match`` gives it."""
     import pandas as pd
+    import zstandard
 
+    unpack = zstandard.ZstdDecompressor().decompress
     frames = []
-    for t, o, p, c in zip(pdf["tokens"], pdf["owners"], pdf["places"], pdf["classes"], strict=True):
+    for row in zip(pdf["tokens"], pdf["owners"], pdf["places"], pdf["classes"], strict=True):
+        t, o, p, c = (unpack(x) for x in row)
         own, two = np.frombuffer(o, np.int64).reshape(-1, 2), np.frombuffer(c, np.int64).reshape(-1, 4)
         # the order of the sides is that of _match, so that a pair found in both is one
         back = (two[:, 0].view(_U) > two[:, 2].view(_U)) | (two[:, 0] == two[:, 2]) & (two[:, 1] > two[:, 3])
@@ -269,7 +272,9 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
+        pack = zstandard.ZstdCompressor(level=1).compress
         frequent = np.unpackbits(np.frombuffer(marks.value, np.uint8))
         names: dict[bytes, int] = {}
         known: list[np.ndarray] = []
@@ -292,7 +297,7 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
                 for rows in range(0, max(len(far), len(pairs)), piece):
                     cut_, two = slice(rows, rows + piece), pairs[rows : rows + piece]
                     blobs = [token[cut_], key[o[far[cut_]]][:, [0, 2]], far_place[cut_].astype(np.int64), np.concatenate([key[two[:, 0]][:, [0, 2]], key[two[:, 1]][:, [0, 2]]], 1)]
-                    hold = [np.ascontiguousarray(x).tobytes() for x in blobs]
+                    hold = [pack(np.ascontiguousarray(x).tobytes()) for x in blobs]
                     past = -1 - int((table[0, 0] + _U(rows // piece)) % _U(buckets))
                     yield pa.record_batch([pa.array([past], pa.int64()), *(pa.array([x], pa.binary()) for x in hold)], names=["bucket", "tokens", "owners", "places", "classes"])
                 t, p, o = t[few], p[few], o[few]
