@@ -252,7 +252,7 @@ _LRU = """n AS (SELECT 'n' || n_nationkey AS key, row_number() OVER (ORDER BY n_
 @query(f"WITH {_LRU}, last AS (SELECT key, k FROM n WHERE k > total - 9) SELECT key, CAST(row_number() OVER (ORDER BY k = (SELECT min(k) FROM last), k) - 1 AS INT) AS place, CAST((SELECT any_value(total) FROM n) - 9 AS INT) AS evicted, 1.0::DOUBLE AS utilization FROM last")
 def lru_life(spark, sf_dir):
     """Nine places for all nations; reading the oldest makes it the newest, peeking does not."""
-    names = [f"n{r[0]}" for r in sorted(table(spark, sf_dir, "nation").select("n_nationkey").limit(100).collect())]
+    names = [f"n{r[0]}" for r in sorted(table(spark, sf_dir, "nation").select("n_nationkey").collect())]
     cache: kv.Store = kv.LruCache(9)
     cache.put_many({n: n for n in names[:12]})
     for n in names[12:]:
