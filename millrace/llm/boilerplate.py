@@ -15,8 +15,10 @@ from millrace.llm.common import cut, key128
 RATIO = 0.1
 #: A line on a single page repeats nothing, whatever its ratio.
 MIN_PAGES = 2
-#: Size up to which the table of boilerplate lines is broadcast; beyond it, an ordinary join takes over.
+#: Size up to which the table of boilerplate lines is broadcast; beyond it, an ordinary join takes over, in which each
+#: host's lines go to so many places, so that the pages of a hot host do not meet in one.
 BROADCAST_BYTES = 8 << 20
+PLACES = 32
 BLANK = "\t\n\x0b\x0c\r "
 
 
@@ -68,7 +70,12 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     to = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
     joined = docs.select(*own).withColumn("__at", host_of)
-    joined = joined.join(F.broadcast(to) if n <= BROADCAST_BYTES else to, F.col("__at") == F.col("__host"), "left")
+    if n <= BROADCAST_BYTES:
+        joined = joined.join(F.broadcast(to), F.col("__at") == F.col("__host"), "left")
+    else:
+        joined = joined.withColumn("__place", F.pmod(F.xxhash64("text"), F.lit(PLACES)))
+        to = to.withColumn("__there", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PLACES - 1).cast("long"))))
+        joined = joined.join(to, (F.col("__at") == F.col("__host")) & (F.col("__place") == F.col("__there")), "left")
     text = F.col("text").cast("string")
     kept = F.filter(_lines(text), lambda x: _blank(x) | ~F.array_contains(F.col("__lines"), _key(x)))
     joined = joined.withColumn("__kept", F.when(F.col("__lines").isNotNull(), kept))

@@ -86,3 +86,16 @@ def test_repeated_doc_ids(spark):
     assert sorted(ids, key=str) == [5, 5, 6, None, None]
     texts = {t for d, t in got if d == 5}
     assert len(texts) == 2 and b in texts and texts & {a, a + " end"} and (6, c + " c") in got
+
+
+def test_very_long_texts_and_ties(spark, tmp_path):
+    """A text of more than a megabyte passes every stage whole; of equal texts the first by doc_id stays."""
+    import random
+
+    rng = random.Random(9)
+    long = prose(rng, 200_000)
+    rows = [(7, long), (3, long), (5, long + " x"), (9, "only a few words here"), (8, "only a few words here")] + [(20 + i, prose(rng, 80)) for i in range(12)]
+    at = write(spark, tmp_path, rows)
+    out = corpus_pipeline.run(spark, at).collect()
+    assert {r.doc_id for r in out} <= {3, 8, *range(20, 32)}
+    assert all(r.decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() for r in out if r.doc_id == 3)
