@@ -6,7 +6,7 @@ import hashlib
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -92,6 +92,28 @@ def table_bits(rows: int) -> int:
     return min(max(20, (64 * rows).bit_length()), 26)
 
 
+def release() -> None:
+    """Give memory that is free within this worker back to the system: workers live on, beside the next task's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, with what it held given back at its end."""
+
+    def lean_run(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return lean_run
+
+
 # --- byte kernels ----------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import bit_table, cut, mix, narrow, prepare, shingle_sets, slices, table_bits, utf8, wide
+from millrace.llm.common import bit_table, cut, lean, mix, narrow, prepare, release, shingle_sets, slices, table_bits, utf8, wide
 from millrace.llm.graph import components, merge_components
 
 #: Similarity as a fraction of integers, so that the test is exact.
@@ -183,7 +183,7 @@ def _survey(width: int):
                 )
         yield frequent()
 
-    return run
+    return lean(run)
 
 
 def _subset_hashes(s: np.ndarray, size: int) -> np.ndarray:
@@ -341,7 +341,7 @@ def _entries(width: int, num: int, den: int, small: int, marks, buckets: int):
                     held = 0
         yield from flush()
 
-    return run
+    return lean(run)
 
 
 def _may(n1, p1, n2, p2, num: int, den: int):
@@ -424,6 +424,7 @@ def _match(num: int, den: int):
             pd.DataFrame({"token": t[far].view(np.int64), "a0": k[o[far], 0], "a1": k[o[far], 1], "b0": None, "b1": None, "place": p[far]}),
         ]
         out = pd.concat([f.astype("Int64") for f in frames], ignore_index=True)
+        release()
         return out
 
     return run
@@ -475,14 +476,15 @@ def _pieces(lists: DataFrame) -> Iterator[DataFrame]:
         per = lists.groupBy("token", "label").agg(F.count("*").alias("c"))
         sizes = per.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
         sizes = cut(sizes.select("token", "m", F.col("top.c").alias("c"), F.col("top.label").alias("top"), F.ceil(F.col("m") / PIECE).alias("pieces")))
-        if not sizes.limit(1).count():
+        most = sizes.agg(F.max("pieces")).first()[0]
+        if not most:
             return
         rows = lists.join(sizes, "token")
         piece = F.pmod(F.xxhash64("node"), "pieces")
         yield rows.where("pieces = 1").select(*own, zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"))
-        large = cut(rows.where("pieces > 1").select(*own, "top", "pieces", (F.col("c") * 2 >= F.col("m")).alias("led"), piece.alias("piece")))
-        if not large.limit(1).count():
+        if most == 1:
             return
+        large = cut(rows.where("pieces > 1").select(*own, "top", "pieces", (F.col("c") * 2 >= F.col("m")).alias("led"), piece.alias("piece")))
         every = F.explode(F.sequence(zero, F.col("pieces") - 1))
         main, others = large.where("led and label = top"), large.where("led and label <> top")
         yield main.select(*own, F.col("piece").alias("i"), zero.alias("j"), F.lit(0).alias("side"))
@@ -504,7 +506,7 @@ def _rule_out(num: int, den: int):
             mask = pa.array([_outlines_allow(*row, num, den) for row in zip(*sides, strict=True)], pa.bool_())
             yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _pack(width: int, wanted, bits: int):
@@ -524,7 +526,7 @@ def _pack(width: int, wanted, bits: int):
                     names=["doc_id", "k0", "k1", "set"],
                 )
 
-    return run
+    return lean(run)
 
 
 def _verify(num: int, den: int):
@@ -542,7 +544,7 @@ def _verify(num: int, den: int):
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -810,7 +812,7 @@ def _keyed(width: int):
                 names = [*batch.schema.names, "__k0", "__k1"]
                 yield pa.record_batch([*batch.columns, pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], names=names)
 
-    return run
+    return lean(run)
 
 
 def with_class(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -14,7 +14,6 @@ longest known context.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import doc_mod, prepare, slices, utf8
+from millrace.llm.common import doc_mod, lean, prepare, slices, utf8
 
 ORDER = 4
 #: Occurrences that a context needs to enter the tree.
@@ -179,7 +178,7 @@ def _label(shared, extra: list[str]):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = pickle.loads(shared.value)
+        model = shared.value
         for batch in batches:
             data, off, _ = utf8(batch.column("text"))
             letters = np.asarray(batch.column("letters").fill_null(False)) & bool(model.langs)
@@ -191,7 +190,7 @@ def _label(shared, extra: list[str]):
             cols = [batch.column(c) for c in extra]
             yield pa.record_batch([*cols, pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0))], names=[*extra, "lang_pred", "score"])
 
-    return run
+    return lean(run)
 
 
 def train(spark: SparkSession, labelled: DataFrame) -> Model:
@@ -227,7 +226,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     extra = docs.columns
     given = docs.withColumn("letters", F.col("text").rlike(r"\p{L}"))
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
+    shared = spark.sparkContext.broadcast(model)
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
