@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _done: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+_rows: weakref.WeakKeyDictionary[DataFrame, int] = weakref.WeakKeyDictionary()
+
+#: Rows that one task takes on average where rows are dealt out by a key; more rows make more tasks, not larger ones.
+SHARE = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,4 +47,18 @@ def cut_counted(df: DataFrame, test: Column | None = None) -> tuple[DataFrame, i
     """``cut`` and the number of rows (that pass the test), which is observed while they are written: one job."""
     seen = Observation()
     out = cut(df.observe(seen, F.count_if(F.lit(True) if test is None else test).alias("n")))
-    return out, seen.get["n"]
+    n = seen.get["n"]
+    if test is None:
+        _rows[out] = n
+    return out, n
+
+
+def rows(df: DataFrame) -> int:
+    """Its number of rows, which a frame that ``cut_counted`` gave knows."""
+    return _rows[df] if df in _rows else df.count()
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The rows dealt out by the keys, for some ``n`` rows: a task's share, and so its memory, stays the same in larger tables."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(n // SHARE + 1, min(cores, n // 10_000 + 1)), *keys)

@@ -8,16 +8,72 @@ driver.
 from __future__ import annotations
 
 import functools
+import weakref
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.lineage import cut, cut_counted, cut_once
+from millrace.functions.lineage import cut, cut_counted, cut_once, dealt, rows
 
 
 #: Steps whose results are read side by side before they are written as one.
 UNIONS = 8
+#: Tables that were counted are broadcast up to so many rows.
+SMALL = 50_000
+#: Seeds whose sets travel in one number.
+BITS = 64
+#: Ancestors that travel in one row.
+PACK = 1000
+
+_tables: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+
+
+def edge_table(edges: DataFrame) -> DataFrame:
+    """``src, dst``: the edges, each once, written and counted; what it gave before is left as it is."""
+    if edges in _tables:
+        return edges
+    pairs = edges.select("src", "dst")
+    out, _ = cut_counted(dealt(pairs, rows(edges), "src", "dst").distinct())
+    _tables.add(out)
+    return out
+
+
+def _near(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= SMALL else df
+
+
+def _inner(e: DataFrame) -> tuple[DataFrame, int]:
+    """``node_id``: nodes with children, and their number."""
+    return cut_counted(dealt(e.select(F.col("src").alias("node_id")).where("src is not null"), rows(e), "node_id").distinct())
+
+
+def _core(e: DataFrame, inner: DataFrame, n: int) -> DataFrame:
+    """Edges whose lower end has children too: what a walk needs but for its last step, and mostly a small part."""
+    below = _near(inner.withColumnRenamed("node_id", "dst"), n)
+    core, _ = cut_counted((e if n <= SMALL else dealt(e, rows(e), "dst")).join(below, "dst", "left_semi").select("src", "dst"))
+    _tables.add(core)
+    return core
+
+
+def _onwards(frontier: DataFrame, n: int, step: DataFrame, total: int, depth: int, starts: list[DataFrame]) -> tuple[DataFrame, int]:
+    """A frontier's rows from which a step leads on, if there are many, so that the last step isn't taken for nothing."""
+    if n <= SMALL or depth == 1:
+        return frontier, n
+    if not starts:
+        starts.append(cut(dealt(step.select(F.col("__from").alias("node_id")), total, "node_id").distinct()))
+    return cut_counted(frontier.join(starts[0], "node_id", "left_semi").select(*frontier.columns))
+
+
+def _taken(frontier: DataFrame, n: int, step: DataFrame, total: int) -> DataFrame:
+    way = step if n <= SMALL else dealt(step, total, "__from")
+    return way.join(_near(frontier, n), F.col("node_id") == F.col("__from")).drop("node_id", "__from").withColumnRenamed("__to", "node_id")
+
+
+def _step(edges: DataFrame, reverse: bool) -> tuple[DataFrame, int]:
+    e = edge_table(edges)
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    return e.select(F.col(a).alias("__from"), F.col(b).alias("__to")), rows(e)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), reverse: bool = False) -> DataFrame:
@@ -25,15 +81,21 @@ def reach(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), reverse:
 
     A step is one job: its rows are counted while they are written.
     """
-    a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = cut_once(edges).select(F.col(a).alias("__from"), F.col(b).alias("__to"))
-    key = [*by, "node_id"]
-    known = cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = known, 0
+    if by:
+        sets, names, width = _reach_sets(edges, seeds, by, reverse)
+        bit = F.explode(F.filter(F.lit(list(range(width))), lambda i: F.getbit("bits", i) == 1))
+        found = sets.select("block", "node_id", "depth", bit.alias("bit"))
+        return found.join(names, ["block", "bit"]).select(*by, "node_id", "depth")
+    step, total = _step(edges, reverse)
+    known, n = cut_counted(seeds.select("node_id").distinct().withColumn("depth", F.lit(0)))
+    frontier, depth, starts = known, 0, []
     while True:
         depth += 1
-        new = frontier.join(step, F.col("node_id") == F.col("__from")).select(*by, F.col("__to").alias("node_id")).distinct()
-        new, n = cut_counted(new.join(known.select(*key), key, "left_anti").withColumn("depth", F.lit(depth)))
+        frontier, n = _onwards(frontier, n, step, total, depth, starts)
+        if not n:
+            return known
+        new = dealt(_taken(frontier, n, step, total).select("node_id"), total, "node_id").distinct()
+        new, n = cut_counted(new.join(known.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth)))
         if not n:
             return known
         known, frontier = known.union(new), new
@@ -41,6 +103,49 @@ def reach(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = (), reverse:
             known = cut(known)
 
 
+def _reach_sets(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...], reverse: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """``block, node_id, bits, depth``: in each step the sets of ``by`` that reach a node for the first time; ``block, bit, by...``; bits in use.
+
+    A row has up to 64 of them, so that nodes which many seeds reach are not written once for each.
+    """
+    each = seeds.select(*by).distinct()
+    k = each.count()
+    number = F.monotonically_increasing_id()
+    names = cut(dealt(each, k, *by).select(*by, number.alias("n")))
+    names = names.select(F.floor(F.col("n") / BITS).alias("block"), (F.col("n") % BITS).cast("int").alias("bit"), *by)
+    named = names.select("block", "bit", *[F.col(c).alias(f"__{c}") for c in by])
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    one = F.expr("shiftleft(1L, bit)")
+    known, n = cut_counted(seeds.join(_near(named, k), same).groupBy("block", "node_id").agg(F.bit_or(one).alias("bits")).withColumn("depth", F.lit(0)))
+    step, total = _step(edges, reverse)
+    frontier, depth, starts = known, 0, []
+    zero = F.lit(0).cast("long")
+    while True:
+        depth += 1
+        frontier, n = _onwards(frontier, n, step, total, depth, starts)
+        if not n:
+            break
+        ways = _taken(frontier.drop("depth"), n, step, total).select("block", "node_id", "bits", zero.alias("old"))
+        both = dealt(ways.union(known.select("block", "node_id", zero, "bits")), max(total, n), "node_id").groupBy("block", "node_id")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not("old"))
+        new = both.agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old")).select("block", "node_id", fresh.alias("bits")).where("bits <> 0")
+        new, n = cut_counted(new.withColumn("depth", F.lit(depth)))
+        if not n:
+            break
+        known, frontier = known.union(new), new
+        if depth % UNIONS == 0:
+            known = cut(known)
+    return known, names, min(k, BITS)
+
+
+def reach_counts(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...], reverse: bool = False) -> DataFrame:
+    """``by..., depth, n``: how many nodes are reached in so many steps and not in fewer, seeds left out."""
+    sets, names, width = _reach_sets(edges, seeds, by, reverse)
+    counts = [F.count_if(F.getbit("bits", F.lit(i)) == 1).alias(f"b{i}") for i in range(width)]
+    each = F.posexplode(F.array(*[f"b{i}" for i in range(width)])).alias("bit", "n")
+    return sets.where("depth > 0").groupBy("block", "depth").agg(*counts).select("block", "depth", each).where("n > 0").join(names, ["block", "bit"]).select(*by, "depth", "n")
+
+
 def downstream(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return reach(edges, seeds, by).where("depth > 0")
 
@@ -152,23 +257,32 @@ def fan_in_aggregations(nodes: DataFrame, edges: DataFrame, least: int = 3) -> D
 def diamonds(edges: DataFrame) -> DataFrame:
     """``node_id, n_shared``: nodes two of whose parents have an ancestor (or themselves) in common, and how many such.
 
-    Only parents of nodes with two or more of them are followed upwards.
+    Only parents of nodes with two or more of them are followed upwards. A parent's ancestors travel along its edges in packs.
     """
-    e = cut(edges.select("src", "dst").distinct())
-    several = e.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst")
-    below = e.join(several, "dst", "left_semi")
-    parents = below.select(F.col("src").alias("node_id")).distinct()
-    lines = reach(e, parents.select(F.col("node_id").alias("of"), "node_id"), ("of",), reverse=True).select(F.col("of").alias("src"), F.col("node_id").alias("ancestor"))
-    shared = below.join(lines, "src").groupBy("dst", "ancestor").agg(F.count("*").alias("ways")).where("ways > 1")
-    return shared.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n_shared"))
+    e = edge_table(edges)
+    parents_of = F.count("*").over(Window.partitionBy("dst"))
+    below, m = cut_counted(dealt(e, rows(e), "dst").where("src is not null and dst is not null").withColumn("n", parents_of).where("n > 1").select("src", "dst"))
+    core = _core(e, *_inner(e))
+    parents = cut(dealt(below.select(F.col("src").alias("node_id")), m, "node_id").distinct())
+    up = reach(core, parents.select(F.col("node_id").alias("of"), "node_id"), ("of",), reverse=True)
+    # a parent itself is shared only if it is above another one
+    above = core.select(F.col("src").alias("of")).distinct()
+    lines = up.where("depth > 0").select("of", "node_id").union(parents.select(F.col("node_id").alias("of"), "node_id").join(above, "of", "left_semi"))
+    lines, n = cut_counted(lines)
+    pack = F.pmod(F.hash("node_id"), F.ceil(F.count("*").over(Window.partitionBy("of")) / PACK))
+    packs = dealt(lines, max(n, m), "of").withColumn("pack", pack).groupBy("of", "pack").agg(F.collect_list("node_id").alias("ancestors"))
+    sent = dealt(below, max(n, m), "src").join(packs, F.col("src") == F.col("of")).select("dst", "ancestors")
+    ways = dealt(sent, max(n, m), "dst").select("dst", F.explode("ancestors").alias("ancestor")).groupBy("dst", "ancestor").agg(F.count("*").alias("ways"))
+    return ways.where("ways > 1").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n_shared"))
 
 
 def chains(nodes: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
     """``head, n``: maximal runs of nodes each with one child that has one parent; at least ``least`` long."""
+    edges = edge_table(edges)
     d = degrees(nodes, edges).select("node_id", "fan_in", "fan_out")
     one_out = d.where("fan_out = 1").select(F.col("node_id").alias("src"))
     one_in = d.where("fan_in = 1").select(F.col("node_id").alias("dst"))
-    link = cut(edges.select("src", "dst").distinct().join(one_out, "src").join(one_in, "dst").select("src", "dst"))
+    link = cut(edges.join(one_out, "src").join(one_in, "dst").select("src", "dst"))
     members = link.select(F.col("src").alias("node_id")).union(link.select("dst")).distinct()
     groups = components(members, link)
     heads = members.join(link.select(F.col("dst").alias("node_id")), "node_id", "left_anti").join(groups, "node_id").select(F.col("node_id").alias("head"), "component")

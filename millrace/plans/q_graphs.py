@@ -24,7 +24,6 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         .union(t("supplier").select(_id("n", "s_nationkey"), _id("s", "s_suppkey")))
         .union(t("orders").select(_id("c", "o_custkey"), _id("o", "o_orderkey")))
         .union(t("lineitem").select(_id("s", "l_suppkey"), _id("o", "l_orderkey")))
-        .distinct()
     )
     nodes = (
         t("region").select(_id("r", "r_regionkey").alias("node_id"), F.lit("source").alias("kind"))
@@ -33,7 +32,7 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         .union(t("supplier").select(_id("s", "s_suppkey"), F.lit("derived")))
         .union(t("orders").select(_id("o", "o_orderkey"), F.lit("derived")))
     )
-    return nodes, cut(edges)
+    return nodes, G.edge_table(edges)
 
 
 def _seeds(spark: SparkSession, *ids: str) -> DataFrame:

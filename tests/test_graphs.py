@@ -101,3 +101,35 @@ def test_dead_nodes_of_open_orders(spark):
     dead = names(entry.queries()["opt_dead_nodes"](spark, sf))
     orders = {f"o:{r.o_orderkey}": r.o_orderstatus for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
     assert {k for k, v in orders.items() if v == "P"} == orders.keys() - dead
+
+
+def test_diamonds_keep_the_share_of_a_task(spark, monkeypatch):
+    """Thirty nodes below two of three parents each, one of them above another: more tasks where rows are more."""
+    from millrace.functions import lineage
+
+    monkeypatch.setattr(lineage, "SHARE", 10)
+    pairs = [("top", "p"), ("top", "q"), ("p", "r")] + [(x, f"k{i}") for i in range(30) for x in ("pq" if i % 2 else "pr")]
+    found = G.diamonds(spark.createDataFrame(pairs * 2, "src string, dst string"))
+    assert {(r.node_id, r.n_shared) for r in found.collect()} == {(f"k{i}", 1 if i % 2 else 2) for i in range(30)}
+    assert found.rdd.getNumPartitions() == 60 // 10 + 1
+
+
+def test_sets_of_more_than_64_seeds(spark):
+    """Every node below others is a seed: each reaches what is above it, at its distance."""
+    pairs = [(f"{i:02}", f"{i + 1:02}") for i in (0, 1, 2, 66, 67)] + [("x", f"{i:02}") for i in range(66)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    seeds = edges.selectExpr("dst as of").distinct().selectExpr("of", "of as node_id")
+    got = sorted((r.of, r.node_id, r.depth) for r in G.reach(edges, seeds, ("of",), reverse=True).collect())
+    above = {}
+    for a, b in pairs:
+        above.setdefault(b, []).append(a)
+    assert len(above) > 64
+    want = []
+    for s in above:
+        depth, todo = {s: 0}, [s]
+        for b in todo:
+            new = [a for a in above.get(b, ()) if a not in depth]
+            depth |= {a: depth[b] + 1 for a in new}
+            todo += new
+        want += [(s, k, d) for k, d in depth.items()]
+    assert got == sorted(want)
