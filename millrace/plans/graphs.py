@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.lineage import cut, cut_counted, cut_once, dealt, rows
+from millrace.functions.lineage import cut, cut_counted, dealt, rows
 
 
 #: Steps whose results are read side by side before they are written as one.
@@ -155,15 +155,35 @@ def upstream(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> Da
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node_id, level``: the longest distance from a node without parents. Raises on a cycle. One job a level."""
-    total = nodes.count()
-    left = cut(edges.select("src", "dst").distinct())
-    ready, n = cut_counted(nodes.select("node_id").join(left.select(F.col("dst").alias("node_id")), "node_id", "left_anti").withColumn("level", F.lit(0)))
+    """``node_id, level``: the longest distance from a node without parents. Raises on a cycle.
+
+    One job a level among the nodes with children; those without follow all at once.
+    """
+    e = edge_table(edges)
+    inner, n = _inner(e)
+    core = _core(e, inner, n)
+    upper, finished = _peeled(nodes.select("node_id").distinct().join(_near(inner, n), "node_id", "left_semi"), core)
+    if finished < n:
+        raise ValueError("the graph has a cycle")
+    at = _near(upper.withColumnRenamed("node_id", "src"), finished)
+    down = (e if finished <= SMALL else dealt(e, rows(e), "src")).join(at, "src", "left")
+    ends = down.select(F.col("dst").alias("node_id"), (F.col("level") + 1).alias("level"), F.col("level").isNull().alias("open"))
+    ends = dealt(ends.union(nodes.select("node_id", F.lit(0), F.lit(False))), rows(e), "node_id").groupBy("node_id").agg(F.max("level").alias("level"), F.max("open").alias("open"))
+    lower, waiting = cut_counted(ends.join(_near(inner, n), "node_id", "left_anti"), F.col("open"))
+    if waiting:
+        raise ValueError("the graph has a cycle")
+    return upper.union(lower.select("node_id", "level"))
+
+
+def _peeled(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """``node_id, level`` of what can be reached level by level, and how many they are. One job a level."""
+    total = rows(edges)
+    ready, n = cut_counted(nodes.select("node_id").join(edges.select(F.col("dst").alias("node_id")), "node_id", "left_anti").withColumn("level", F.lit(0)))
     done, level, finished = ready, 0, n
-    waiting = left.groupBy("dst").agg(F.count("*").alias("open"))
+    waiting = dealt(edges.select("dst"), total, "dst").groupBy("dst").agg(F.count("*").alias("open"))
     while n:
         level += 1
-        freed = ready.join(left, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.count("*").alias("freed"))
+        freed = edges.join(_near(ready, n), F.col("node_id") == F.col("src")).groupBy("dst").agg(F.count("*").alias("freed"))
         after = waiting.join(freed, "dst", "left").select("dst", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open"))
         after, n = cut_counted(after, F.col("open") == 0)
         ready, waiting = after.where("open = 0").select(F.col("dst").alias("node_id"), F.lit(level).alias("level")), after.where("open > 0")
@@ -172,16 +192,16 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             done = done.union(ready)
             if level % UNIONS == 0:
                 done = cut(done)
-    if finished < total:
-        raise ValueError("the graph has a cycle")
-    return done
+    return done, finished
 
 
 def longest_depths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``node_id, depth``: of what hangs on ``seeds(node_id)``, the longest way from a seed. Raises on a cycle among them."""
-    edges = cut_once(edges)
+    edges = edge_table(edges)
     hit = cut(reach(edges, seeds).select("node_id"))
-    inner = edges.join(hit.withColumnRenamed("node_id", "src"), "src", "left_semi").join(hit.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    # what hangs on a hit node is hit, so the upper end decides
+    inner, _ = cut_counted(edges.join(hit.withColumnRenamed("node_id", "src"), "src", "left_semi").select("src", "dst"))
+    _tables.add(inner)
     # a seed that hangs on another one is no start; what is on the way from it is further down by itself
     return levels(hit, inner).where("level > 0").withColumnRenamed("level", "depth")
 
@@ -206,12 +226,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # --- degrees and shape -------------------------------------------------------------------------------------
 
 
+def _with_degrees(nodes: DataFrame, edges: DataFrame, *which: str) -> DataFrame:
+    e = edge_table(edges)
+    out = dealt(nodes, rows(e), "node_id")
+    for name in which:
+        at = e.select(F.col("dst" if name == "fan_in" else "src").alias("node_id"))
+        out = out.join(dealt(at, rows(e), "node_id").groupBy("node_id").agg(F.count("*").alias(name)), "node_id", "left")
+    return out.na.fill(0, list(which))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` with ``fan_in`` and ``fan_out``."""
-    e = edges.select("src", "dst").distinct()
-    ins = e.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("fan_in"))
-    outs = e.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("fan_out"))
-    return nodes.join(ins, "node_id", "left").join(outs, "node_id", "left").na.fill(0, ["fan_in", "fan_out"])
+    return _with_degrees(nodes, edges, "fan_in", "fan_out")
 
 
 def degree_distribution(nodes: DataFrame, edges: DataFrame, which: str = "fan_in") -> DataFrame:
@@ -220,19 +246,19 @@ def degree_distribution(nodes: DataFrame, edges: DataFrame, which: str = "fan_in
 
 def complexity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of measures: counts, degrees, density, depth, width, and the entropy of fan-out shares."""
-    d = degrees(nodes, edges)
-    shape = levels(nodes, edges).groupBy("level").agg(F.count("*").alias("n")).agg((F.max("level") + 1).alias("depth"), F.max("n").alias("width"))
-    sums = d.agg(
-        F.count("*").alias("n_nodes"), F.sum("fan_out").alias("n_edges"), F.max("fan_in").alias("max_fan_in"), F.max("fan_out").alias("max_fan_out"), F.avg("fan_in").alias("avg_fan_in")
-    )
+    edges = edge_table(edges)
+    deep = levels(nodes, edges).groupBy("level").agg(F.count("*").alias("n")).agg((F.max("level") + 1).alias("depth"), F.max("n").alias("width")).first()
+    out = F.col("fan_out")
+    sums = degrees(nodes, edges).agg(
+        F.count("*").alias("n_nodes"), F.sum(out).alias("n_edges"), F.max("fan_in").alias("max_fan_in"), F.max(out).alias("max_fan_out"), F.avg("fan_in").alias("avg_fan_in"),
+        F.sum(F.when(out > 0, out * F.log2(out))).alias("__logs"),
+    )
     n, m = F.col("n_nodes"), F.col("n_edges")
-    total = d.agg(F.sum("fan_out")).first()[0] or 1
-    share = F.col("fan_out") / F.lit(total)
-    entropy = d.where("fan_out > 0").agg(F.coalesce(-F.sum(share * F.log2(share)), F.lit(0.0)).alias("e")).first()["e"]
-    deep = shape.first()
     density = F.when(n > 1, m / (n * (n - 1) / 2)).otherwise(0.0)
-    fixed = {"depth": F.lit(deep["depth"]), "width": F.lit(deep["width"]), "entropy": F.lit(entropy), "density": density}
-    return sums.withColumns(fixed)
+    # the sum of -s log s over shares s = f / m, taken apart, so that one pass does
+    entropy = F.when(m > 0, F.log2(m) - F.col("__logs") / m).otherwise(0.0)
+    fixed = {"depth": F.lit(deep["depth"]), "width": F.lit(deep["width"]), "entropy": entropy, "density": density}
+    return sums.withColumns(fixed).drop("__logs")
 
 
 def critical_nodes(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, share: float = 0.5) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from millrace.graph import Blueprint
@@ -133,3 +135,23 @@ def test_sets_of_more_than_64_seeds(spark):
             todo += new
         want += [(s, k, d) for k, d in depth.items()]
     assert got == sorted(want)
+
+
+def _wide(spark):
+    """A root, two nodes below it, and thirty below both."""
+    pairs = [("r", "a"), ("r", "b")] + [(x, f"k{i}") for i in range(30) for x in "ab"]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    kinds = [("r", "source")] + [(x, "derived") for x in ("a", "b", *(f"k{i}" for i in range(30)))]
+    return spark.createDataFrame(kinds, "node_id string, kind string"), edges
+
+
+def test_levels_keep_the_share_of_a_task(spark, monkeypatch):
+    from millrace.functions import lineage
+
+    monkeypatch.setattr(lineage, "SHARE", 10)
+    nodes, edges = _wide(spark)
+    found = G.levels(nodes, edges.union(edges))
+    assert {r.node_id: r.level for r in found.collect()} == {"r": 0, "a": 1, "b": 1} | {f"k{i}": 2 for i in range(30)}
+    assert found.rdd.getNumPartitions() > 62 // 10
+    row = G.complexity(nodes, edges).first()
+    assert (row.n_edges, row.width, row.max_fan_out) == (62, 30, 30) and row.entropy == pytest.approx(-sum(f / 62 * math.log2(f / 62) for f in (2, 30, 30)))
