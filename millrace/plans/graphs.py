@@ -264,10 +264,10 @@ def complexity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def critical_nodes(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, share: float = 0.5) -> DataFrame:
     """Those of ``candidates(node_id)`` whose ancestors and descendants are at least ``share`` of all nodes."""
     total = nodes.count()
+    edges = edge_table(edges)
     seeds = candidates.select(F.col("node_id").alias("of"), "node_id")
-    sizes = [f(edges, seeds, ("of",)).groupBy("of").agg(F.count("*").alias("n")) for f in (downstream, upstream)]
-    both = sizes[0].union(sizes[1]).groupBy(F.col("of").alias("node_id")).agg(F.sum("n").alias("related"))
-    return both.where((F.col("related") >= share * total) & F.lit(total > 2))
+    both = reach_counts(edges, seeds, ("of",)).union(reach_counts(edges, seeds, ("of",), reverse=True))
+    return both.groupBy(F.col("of").alias("node_id")).agg(F.sum("n").alias("related")).where((F.col("related") >= share * total) & F.lit(total > 2))
 
 
 def fan_out_bottlenecks(nodes: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:

@@ -155,3 +155,10 @@ def test_levels_keep_the_share_of_a_task(spark, monkeypatch):
     assert found.rdd.getNumPartitions() > 62 // 10
     row = G.complexity(nodes, edges).first()
     assert (row.n_edges, row.width, row.max_fan_out) == (62, 30, 30) and row.entropy == pytest.approx(-sum(f / 62 * math.log2(f / 62) for f in (2, 30, 30)))
+
+
+def test_critical_nodes_by_counts_of_sets(spark):
+    nodes, edges = _wide(spark)
+    seeds = nodes.where("kind = 'derived'").selectExpr("node_id as of", "node_id")
+    assert {(r.of, r.depth, r.n) for r in G.reach_counts(edges, seeds, ("of",)).collect()} == {("a", 1, 30), ("b", 1, 30)}
+    assert {r.node_id: r.related for r in G.critical_nodes(nodes, edges, nodes.select("node_id"), 0.5).collect()} == {"r": 32, "a": 31, "b": 31}
