@@ -347,10 +347,10 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, by: tuple[str,
     ``depth`` counts the fewest steps; ``longest_depths`` has the most.
     """
     n = nodes.where("kind = 'derived'").count()
-    hit = downstream(edges, seeds, by)
-    share = F.count("*") / F.lit(max(n, 1))
-    rows = hit.groupBy(*by).agg(F.count("*").alias("affected"), share.alias("blast_radius"), F.max("depth").alias("depth"))
-    return rows.withColumns({"is_localized": F.col("blast_radius") < 0.2, "is_widespread": F.col("blast_radius") > 0.5})
+    hit = reach_counts(edges, seeds, by) if by else downstream(edges, seeds).withColumn("n", F.lit(1).cast("long"))
+    total = F.coalesce(F.sum("n"), F.lit(0).cast("long"))
+    found = hit.groupBy(*by).agg(total.alias("affected"), (total / F.lit(max(n, 1))).alias("blast_radius"), F.max("depth").alias("depth"))
+    return found.withColumns({"is_localized": F.col("blast_radius") < 0.2, "is_widespread": F.col("blast_radius") > 0.5})
 
 
 def compare_impacts(edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

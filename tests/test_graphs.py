@@ -162,3 +162,10 @@ def test_critical_nodes_by_counts_of_sets(spark):
     seeds = nodes.where("kind = 'derived'").selectExpr("node_id as of", "node_id")
     assert {(r.of, r.depth, r.n) for r in G.reach_counts(edges, seeds, ("of",)).collect()} == {("a", 1, 30), ("b", 1, 30)}
     assert {r.node_id: r.related for r in G.critical_nodes(nodes, edges, nodes.select("node_id"), 0.5).collect()} == {"r": 32, "a": 31, "b": 31}
+
+
+def test_impact_counts_without_writing_pairs(spark, monkeypatch):
+    nodes, edges = _wide(spark)
+    monkeypatch.setattr(G, "reach", None)
+    seeds = nodes.selectExpr("node_id as seed", "node_id")
+    assert {r.seed: (r.affected, r.depth) for r in G.impact(nodes, edges, seeds, ("seed",)).collect()} == {"r": (32, 2), "a": (30, 1), "b": (30, 1)}
