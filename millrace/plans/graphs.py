@@ -241,7 +241,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def degree_distribution(nodes: DataFrame, edges: DataFrame, which: str = "fan_in") -> DataFrame:
-    return degrees(nodes, edges).groupBy(F.col(which).alias("degree")).agg(F.count("*").alias("n"))
+    return _with_degrees(nodes, edges, which).groupBy(F.col(which).alias("degree")).agg(F.count("*").alias("n"))
 
 
 def complexity(nodes: DataFrame, edges: DataFrame) -> DataFrame:

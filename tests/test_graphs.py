@@ -169,3 +169,10 @@ def test_impact_counts_without_writing_pairs(spark, monkeypatch):
     monkeypatch.setattr(G, "reach", None)
     seeds = nodes.selectExpr("node_id as seed", "node_id")
     assert {r.seed: (r.affected, r.depth) for r in G.impact(nodes, edges, seeds, ("seed",)).collect()} == {"r": (32, 2), "a": (30, 1), "b": (30, 1)}
+
+
+def test_distribution_counts_one_side(spark):
+    nodes, edges = _wide(spark)
+    found = G.degree_distribution(nodes, edges)
+    assert {(r.degree, r.n) for r in found.collect()} == {(0, 1), (1, 2), (2, 30)}
+    assert "fan_out" not in found._jdf.queryExecution().toString()
