@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import weakref
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,6 +25,8 @@ SMALL = 50_000
 BITS = 64
 #: Ancestors that travel in one row.
 PACK = 1000
+#: Bits of a hash that name a word in a table of marks, or a slot in a table of levels: so large a broadcast gets, and no larger.
+WORDS, SLOTS = 20, 16
 
 _tables: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
@@ -48,10 +50,29 @@ def _inner(e: DataFrame) -> tuple[DataFrame, int]:
     return cut_counted(dealt(e.select(F.col("src").alias("node_id")).where("src is not null"), rows(e), "node_id").distinct())
 
 
-def _core(e: DataFrame, inner: DataFrame, n: int) -> DataFrame:
+def _marks(ids: DataFrame) -> DataFrame:
+    """``word, bits``: each of ``ids(node_id)`` as two bits of a 64-bit word, words and bits by its hash; at most ``2 ** WORDS`` rows."""
+    h = F.xxhash64("node_id")
+    return ids.select(F.shiftright(h, 64 - WORDS).alias("word"), _two_bits(h).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _two_bits(h: Column) -> Column:
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    return bit(h).bitwiseOR(bit(F.shiftright(h, 6)))
+
+
+def _marked(df: DataFrame, col: str, marks: DataFrame) -> DataFrame:
+    """Rows whose ``col`` may be one of the ids that are marked: all that are, and where ids are fewer than some millions few others."""
+    h = F.xxhash64(col)
+    found = df.join(F.broadcast(marks), F.shiftright(h, 64 - WORDS) == F.col("word"))
+    return found.where(F.col("bits").bitwiseAND(_two_bits(h)) == _two_bits(h)).select(*df.columns)
+
+
+def _core(e: DataFrame, inner: DataFrame, n: int, marks: DataFrame | None) -> DataFrame:
     """Edges whose lower end has children too: what a walk needs but for its last step, and mostly a small part."""
-    below = _near(inner.withColumnRenamed("node_id", "dst"), n)
-    core, _ = cut_counted((e if n <= SMALL else dealt(e, rows(e), "dst")).join(below, "dst", "left_semi").select("src", "dst"))
+    some = e if marks is None else dealt(*cut_counted(_marked(e, "dst", marks)), "dst")
+    # an inner join, since Spark moves a semi join down to where all edges are dealt out
+    core, _ = cut_counted(some.join(_near(inner.withColumnRenamed("node_id", "dst"), n), "dst").select("src", "dst"))
     _tables.add(core)
     return core
 
@@ -157,22 +178,49 @@ def upstream(edges: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> Da
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node_id, level``: the longest distance from a node without parents. Raises on a cycle.
 
-    One job a level among the nodes with children; those without follow all at once.
+    One job a level among the nodes with children; those without follow all at once, when the result is read. Edges are read as they are,
+    three times, and may repeat: they are neither made distinct nor written.
     """
-    e = edge_table(edges)
-    inner, n = _inner(e)
-    core = _core(e, inner, n)
-    upper, finished = _peeled(nodes.select("node_id").distinct().join(_near(inner, n), "node_id", "left_semi"), core)
+    return _levels(nodes, edges)[0]
+
+
+def _levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node_id, level`` of all nodes, not yet computed, and of those with children, written."""
+    e = edges.select("src", "dst")
+    seen = Observation()
+    # most edges share their upper ends with others, so they are put together before they are dealt out
+    ids = e.select(F.col("src").alias("node_id")).observe(seen, F.count(F.lit(1)).alias("n"), F.count("node_id").alias("whole"))
+    inner, n = cut_counted(ids.where("node_id is not null").distinct())
+    total = seen.get["n"]
+    if seen.get["whole"] < total:
+        raise ValueError("the graph has a cycle, or an edge without its upper end")
+    marks = None if n <= SMALL else cut(_marks(inner))
+    core = _core(e, inner, n, marks)
+    own = nodes.select("node_id")
+    upper, finished = _peeled((own if marks is None else _marked(own, "node_id", marks)).distinct().join(_near(inner, n), "node_id"), core)
     if finished < n:
         raise ValueError("the graph has a cycle")
-    at = _near(upper.withColumnRenamed("node_id", "src"), finished)
-    down = (e if finished <= SMALL else dealt(e, rows(e), "src")).join(at, "src", "left")
-    ends = down.select(F.col("dst").alias("node_id"), (F.col("level") + 1).alias("level"), F.col("level").isNull().alias("open"))
-    ends = dealt(ends.union(nodes.select("node_id", F.lit(0), F.lit(False))), rows(e), "node_id").groupBy("node_id").agg(F.max("level").alias("level"), F.max("open").alias("open"))
-    lower, waiting = cut_counted(ends.join(_near(inner, n), "node_id", "left_anti"), F.col("open"))
-    if waiting:
-        raise ValueError("the graph has a cycle")
-    return upper.union(lower.select("node_id", "level"))
+    below = _upper_ends(e, total, upper, n).select(F.col("dst").alias("node_id"), (F.col("level") + 1).alias("level"))
+    return dealt(below.union(nodes.select("node_id", F.lit(0))), total, "node_id").groupBy("node_id").agg(F.max("level").alias("level")), upper
+
+
+def _upper_ends(e: DataFrame, total: int, upper: DataFrame, n: int) -> DataFrame:
+    """``src, dst, level``: edges with the level of their upper ends, all of which are in ``upper``.
+
+    A slot of the hash whose nodes are all on one level gives that level; only nodes of the other slots are looked up themselves.
+    """
+    at = upper.withColumnRenamed("node_id", "src")
+    if n <= SMALL:
+        return e.join(F.broadcast(at), "src")
+    slot = F.shiftright(F.xxhash64("src"), 64 - SLOTS)
+    slots = cut(at.groupBy(slot.alias("slot")).agg(F.min("level").alias("least"), F.max("level").alias("most")))
+    mixed = slots.where("least < most").select("slot")
+    single, k = cut_counted(at.withColumn("slot", slot).join(F.broadcast(mixed), "slot", "left_semi").select("src", F.col("level").alias("single")))
+    if k > SMALL:
+        return dealt(e, total, "src").join(at, "src")
+    plain = F.broadcast(slots.where("least = most").select("slot", F.col("least").alias("level")))
+    found = e.withColumn("slot", slot).join(plain, "slot", "left").join(F.broadcast(single), "src", "left")
+    return found.select("src", "dst", F.coalesce("level", "single").alias("level"))
 
 
 def _peeled(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
@@ -288,7 +336,8 @@ def diamonds(edges: DataFrame) -> DataFrame:
     e = edge_table(edges)
     parents_of = F.count("*").over(Window.partitionBy("dst"))
     below, m = cut_counted(dealt(e, rows(e), "dst").where("src is not null and dst is not null").withColumn("n", parents_of).where("n > 1").select("src", "dst"))
-    core = _core(e, *_inner(e))
+    inner, k = _inner(e)
+    core = _core(e, inner, k, None if k <= SMALL else cut(_marks(inner)))
     parents = cut(dealt(below.select(F.col("src").alias("node_id")), m, "node_id").distinct())
     up = reach(core, parents.select(F.col("node_id").alias("of"), "node_id"), ("of",), reverse=True)
     # a parent itself is shared only if it is above another one
@@ -389,9 +438,13 @@ def orphan_sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def bottleneck_levels(nodes: DataFrame, edges: DataFrame, most: int = 1) -> DataFrame:
-    """Nodes on levels with at most so many nodes."""
-    n = F.count("*").over(Window.partitionBy("level"))
-    return levels(nodes, edges).withColumn("n", n).where(F.col("n") <= most).select("node_id", "level")
+    """Nodes on levels with at most so many nodes. Levels are counted first; nodes without children are taken only if some are on such levels."""
+    found, upper = _levels(nodes, edges)
+    sizes = found.groupBy("level").agg(F.count("*").alias("n"))
+    inner = upper.groupBy("level").agg(F.count("*").alias("inner"))
+    narrow, k = cut_counted(sizes.where(F.col("n") <= most).join(inner, "level", "left").select("level", (F.col("n") == F.coalesce("inner", F.lit(0))).alias("all_inner")))
+    rest = narrow.where("not all_inner").count()
+    return (found if rest else upper).join(_near(narrow, k), "level", "left_semi").select("node_id", "level")
 
 
 def cost_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -16,7 +16,13 @@ def _id(kind: str, key) -> F.Column:
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Regions are sources; an order depends on its customer and on the suppliers of its line items."""
+    """Nodes, and edges made distinct and written once."""
+    nodes, edges = rows_of_hierarchy(spark, sf_dir)
+    return nodes, G.edge_table(edges)
+
+
+def rows_of_hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions are sources; an order depends on its customer and on the suppliers of its line items. An edge for each row, so some repeat."""
     t = lambda n: table(spark, sf_dir, n)
     edges = (
         t("nation").select(_id("r", "n_regionkey").alias("src"), _id("n", "n_nationkey").alias("dst"))
@@ -32,7 +38,7 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         .union(t("supplier").select(_id("s", "s_suppkey"), F.lit("derived")))
         .union(t("orders").select(_id("o", "o_orderkey"), F.lit("derived")))
     )
-    return nodes, G.edge_table(edges)
+    return nodes, edges
 
 
 def _seeds(spark: SparkSession, *ids: str) -> DataFrame:
@@ -133,7 +139,7 @@ def opt_parallelism_profile(spark, sf_dir):
 
 @query(H + _LEVELS + " SELECT node_id, level FROM lv WHERE level IN (SELECT level FROM lv GROUP BY level HAVING count(*) <= 30)")
 def opt_bottlenecks(spark, sf_dir):
-    return G.bottleneck_levels(*hierarchy(spark, sf_dir), most=30)
+    return G.bottleneck_levels(*rows_of_hierarchy(spark, sf_dir), most=30)
 
 
 @query(H + _walk("SELECT 'o:' || o_orderkey AS seed, 'o:' || o_orderkey AS node_id FROM orders WHERE o_orderstatus = 'P'", True) + " SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM w)")

@@ -176,3 +176,35 @@ def test_distribution_counts_one_side(spark):
     found = G.degree_distribution(nodes, edges)
     assert {(r.degree, r.n) for r in found.collect()} == {(0, 1), (1, 2), (2, 30)}
     assert "fan_out" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("small, slots", [(30, 6), (12, 1)])
+def test_levels_without_writing_all_edges(spark, monkeypatch, small, slots):
+    """Edges may repeat and are not made distinct; upper ends are looked up by slots and one by one, or all in a join."""
+    import random
+
+    monkeypatch.setattr(G, "SMALL", small)
+    monkeypatch.setattr(G, "SLOTS", slots)
+    monkeypatch.setattr(G, "edge_table", None)
+    r = random.Random(5)
+    pairs = [(f"n{i:02}", f"n{j:02}") for i in range(60) for j in r.sample(range(i // 20 * 20 + 20, 70), 2)] + [(f"n{r.randrange(60):02}", f"k{i}") for i in range(99)]
+    level = {f"n{i:02}": 0 for i in range(70)} | {"alone": 0}
+    for a, b in sorted(pairs):
+        level[b] = max(level.get(b, 0), level[a] + 1)
+    nodes = ids(spark, *level)
+    edges = spark.createDataFrame(pairs + pairs[::3], "src string, dst string")
+    got = G.levels(nodes, edges).collect()
+    assert len(got) == len(level) and {x.node_id: x.level for x in got} == level
+    size = {v: list(level.values()).count(v) for v in level.values()}
+    most = sorted(size.values())[1]
+    assert names(G.bottleneck_levels(nodes, edges, most)) == {k for k, v in level.items() if size[v] <= most}
+    for bad in (None, "n05"), ("ghost", "n69"):
+        with pytest.raises(ValueError, match="cycle"):
+            G.levels(nodes, edges.union(spark.createDataFrame([bad], "src string, dst string")))
+
+
+def test_narrow_levels_bring_no_level_to_one_task(spark):
+    nodes, edges = _wide(spark)
+    found = G.bottleneck_levels(nodes, edges, 2)
+    assert {(r.node_id, r.level) for r in found.collect()} == {("r", 0), ("a", 1), ("b", 1)}
+    assert "Window" not in found._jdf.queryExecution().toString()
