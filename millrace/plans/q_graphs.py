@@ -129,7 +129,7 @@ _LEVELS = _walk("SELECT node_id AS seed, node_id FROM nodes WHERE kind = 'source
 
 @query(H + _LEVELS + " SELECT node_id, level FROM lv")
 def opt_levels(spark, sf_dir):
-    return G.levels(*hierarchy(spark, sf_dir))
+    return G.levels(*rows_of_hierarchy(spark, sf_dir))
 
 
 @query(H + _LEVELS + " SELECT level, count(*) AS n FROM lv GROUP BY level")
