@@ -134,7 +134,7 @@ def opt_levels(spark, sf_dir):
 
 @query(H + _LEVELS + " SELECT level, count(*) AS n FROM lv GROUP BY level")
 def opt_parallelism_profile(spark, sf_dir):
-    return G.levels(*hierarchy(spark, sf_dir)).groupBy("level").agg(F.count("*").alias("n"))
+    return G.levels(*rows_of_hierarchy(spark, sf_dir)).groupBy("level").agg(F.count("*").alias("n"))
 
 
 @query(H + _LEVELS + " SELECT node_id, level FROM lv WHERE level IN (SELECT level FROM lv GROUP BY level HAVING count(*) <= 30)")
@@ -268,7 +268,7 @@ def integrity_check_all(spark, sf_dir):
 
 @query(H + _LEVELS + ", s AS (SELECT level, count(*) AS n FROM lv GROUP BY level) SELECT count(*) AS depth, max(n) AS width, CAST(sum(n) AS DOUBLE) / count(*) AS parallelism, max(n) <= 1 AS is_linear, max(n) > count(*) AS is_wide FROM s")
 def graph_shape(spark, sf_dir):
-    return G.shape(*hierarchy(spark, sf_dir))
+    return G.shape(*rows_of_hierarchy(spark, sf_dir))
 
 
 @query(H + _walk(_seed("r:0", "n:3")) + " SELECT node_id, CAST(max(depth) AS INT) AS depth FROM w GROUP BY node_id HAVING max(depth) > 0")
